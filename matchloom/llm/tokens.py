@@ -6,7 +6,7 @@ import os
 import re
 
 #: White space as the byte-level pattern has it.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text only where the byte-level pattern cuts it too: before a blank and word, around runs of white space.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Chunks that a worker remembers: two generations of so many.
