@@ -1,8 +1,48 @@
-"""Corpus pipeline: quality, exact dedup, near dedup, mixing, packing."""
+"""Corpus pipeline: good documents, one of each text, one of each near-duplicate class, mixed by source, packed."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from matchloom.llm import exact_dedup, mixing, ngram_join, packing, quality_zstd
+from matchloom.llm.common import staged, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the compression classifier rejects, learning from labels outside the held-out fold."""
+    model = quality_zstd.fit_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_zstd.keep_good(docs, model)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each text."""
+    return exact_dedup.keep_one(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each class of texts at n-gram similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources come near their targets."""
+    return mixing.repeat_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences and places."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixed), ("packing", packed)]
+
+#: Classifier, MinHash candidates and packing aren't SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs

@@ -142,6 +142,13 @@ def mix(
     )
 
 
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with every row as often as mix() says, all columns as they came. Rows repeated in docs count by their id."""
+    copies = staged(mix(docs, id_col, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("_copies")), "copies")
+    again = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
+    return docs.join(small(copies), id_col).withColumn("_again", again).select(*docs.columns)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

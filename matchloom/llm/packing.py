@@ -17,7 +17,7 @@ END_ID = 0
 #: Patterns that the multiplicative weights ask the knapsack for.
 ROUNDS = 700
 
-PIECES = "doc_id long, copy int, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(path: str | None, capacity: int, end_id: int):
@@ -25,16 +25,16 @@ def _cut(path: str | None, capacity: int, end_id: int):
         import pyarrow as pa
 
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = enc.encode(text or "") + end
                 n = len(raw) >> 2
                 borders = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                rows += [(doc, 0, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (1, 2) else pa.int64()) for k, c in enumerate(cols)], names)
+                rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(cols)], names)
 
     return run
 
@@ -153,8 +153,8 @@ def _place(table_: np.ndarray, span: int):
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, length * span + rank, side="right") - 1
             sequence = table_[at, 3] + rank - table_[at, 1]
-            cols = [batch.column(c) for c in ("doc_id", "copy", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(table_[at, 4])], ["doc_id", "copy", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            cols = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(table_[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return run
 
@@ -169,7 +169,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     spark = pieces.sparkSession
     arrow_limits(spark)
     salted = staged(
-        pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(partitions(spark))).cast("int")),
+        pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(spark))).cast("int")),
         "pieces",
     )
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -179,7 +179,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     place = np.array(sorted(slots(solve(counts, capacity, rounds))) or [(0, 0, 0, 0, 0)], np.int64)
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("length", "salt").orderBy("doc_id", "copy", "piece")
+    inside = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = (
         salted.withColumn("_r", F.row_number().over(inside) - 1)
         .join(starts, ["length", "salt"])
@@ -195,4 +195,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).drop("copy")
+    return pack_documents(table(spark, sf_dir, "documents"))
