@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACES, small, staged, table
+from matchloom.llm.common import BROADCAST_ROWS, SPACES, small, staged, table
 
 #: Weights that the sources get in code-point order, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source's target, and any document's share, stop at so many times its size.
 MOST = 3
 #: Order keys are counted in so many bins a source; only the bin where the target is reached is ranked.
-BINS = 1 << 16
+BINS = 1 << 12
 
 
 def n_words(column: Column) -> Column:
@@ -87,6 +87,26 @@ def mix(
     No source is sorted as a whole: keys fall into bins of equal probability, words are summed by bin (with
     partial sums in each task), and only the one bin where a source reaches its target is ranked.
     """
+    base, plan, edges = _prepare(docs, id_col, text_col, source_col, weights, share, most, odds_col, seed, bins)
+    known = _placed(base, plan, edges, seed, bins)
+    inside = _edge_rows(known)
+    other = known.filter(~_at_edge()).withColumn("_more", _below_edge().cast("long"))
+    copies = F.col("_whole") + F.col("_more")
+    return inside.unionByName(other).select(
+        F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+    )
+
+
+def _at_edge() -> Column:
+    return F.col("_bin").isNotNull() & F.col("_edge").isNotNull() & (F.col("_bin") == F.col("_edge"))
+
+
+def _below_edge() -> Column:
+    return F.col("_bin").isNotNull() & (F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge")))
+
+
+def _prepare(docs, id_col, text_col, source_col, weights, share, most, odds_col, seed, bins) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of all documents; for each source its target and rates, and the bin in which it reaches its target."""
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
@@ -104,16 +124,8 @@ def mix(
         .withColumn("_rest", F.col("target") - (F.col("_whole") * F.col("source_size")).cast("double")),
         "targets",
     )
-    odds = F.col("_o") if odds_col else F.sqrt(F.col("size") * F.col("_n") / F.col("source_size"))
-    u = uniform(F.col("doc_id"), seed)
-    known = (
-        base.join(small(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
-        .drop("_s")
-        .withColumn("_k", F.when((F.col("size") > 0) & (F.col("_part") > 0), (u / (1 - u)) / (F.col("_part") / (1 - F.col("_part")) * odds)))
-        .withColumn("_z", F.col("_k") / (1 + F.col("_k")))
-        .withColumn("_bin", F.floor(F.col("_z") * bins).cast("long"))
-    )
-    by_bin = known.filter(F.col("_bin").isNotNull()).groupBy("source", "_bin").agg(F.sum("size").alias("_w"), F.first("_rest").alias("_rest"))
+    binned = _keyed(base, plan, seed, bins).filter(F.col("_bin").isNotNull())
+    by_bin = binned.groupBy("source", "_bin").agg(F.sum("size").alias("_w"), F.first("_rest").alias("_rest"))
     run = W.partitionBy("source").orderBy("_bin")
     # the bin in which the running sum of words passes the rest of the target
     reached = (
@@ -123,30 +135,66 @@ def mix(
         .agg(F.min(F.struct("_bin", (F.col("_to") - F.col("_w")).alias("_before"))).alias("m"))
         .select(F.col("source").alias("_s"), F.col("m._bin").alias("_edge"), F.col("m._before").alias("_before"))
     )
-    edged = known.join(small(staged(reached, "edges")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    at_edge = F.col("_bin").isNotNull() & F.col("_edge").isNotNull() & (F.col("_bin") == F.col("_edge"))
+    return base, plan, staged(reached, "edges")
+
+
+def _keyed(rows: DataFrame, plan: DataFrame, seed: int, bins: int) -> DataFrame:
+    """rows (doc_id, source, size) with their source's figures, their rank key _k and its bin; no key where the source needs no sample."""
+    odds = F.col("_o") if "_o" in rows.columns else F.sqrt(F.col("size") * F.col("_n") / F.col("source_size"))
+    u = uniform(F.col("doc_id"), seed)
+    key = (u / (1 - u)) / (F.col("_part") / (1 - F.col("_part")) * odds)
+    return (
+        rows.join(small(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
+        .drop("_s")
+        .withColumn("_k", F.when((F.col("size") > 0) & (F.col("_part") > 0), key))
+        .withColumn("_bin", F.floor(F.col("_k") / (1 + F.col("_k")) * bins).cast("long"))
+    )
+
+
+def _placed(rows: DataFrame, plan: DataFrame, edges: DataFrame, seed: int, bins: int) -> DataFrame:
+    return _keyed(rows, plan, seed, bins).join(small(edges), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def _edge_rows(placed: DataFrame) -> DataFrame:
+    """The rows of the bins where sources reach their targets, each taken while that brings the sum nearer to the target."""
     order = W.partitionBy("source").orderBy("_k", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = (
-        edged.filter(at_edge)
-        .withColumn("_to", F.col("_before") + F.sum("size").over(order))
-        # taken while that brings the sum nearer to the target
+    to = F.col("_before") + F.sum("size").over(order)
+    return (
+        placed.filter(_at_edge())
+        .withColumn("_to", to)
         .withColumn("_more", (F.col("_to") - F.col("_rest") <= F.col("_rest") - (F.col("_to") - F.col("size"))).cast("long"))
         .drop("_to")
     )
-    other = edged.filter(~at_edge).withColumn(
-        "_more", (F.col("_bin").isNotNull() & (F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge")))).cast("long")
-    )
-    copies = F.col("_whole") + F.col("_more")
-    return inside.unionByName(other).select(
-        F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
-    )
 
 
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with every row as often as mix() says, all columns as they came. Rows repeated in docs count by their id."""
-    copies = staged(mix(docs, id_col, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("_copies")), "copies")
-    again = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
-    return docs.join(small(copies), id_col).withColumn("_again", again).select(*docs.columns)
+def repeat_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.0,
+    most: int = MOST,
+    seed: int = 17,
+    bins: int = BINS,
+) -> DataFrame:
+    """docs with every row as often as mix() says, all columns as they came.
+
+    Texts aren't shuffled: a row's copies follow from its own key and its source's figures. Only for the rows
+    in the bins where sources reach their targets, about one in `bins`, are the ids that are taken looked up.
+    """
+    base, plan, edges = _prepare(docs, id_col, text_col, source_col, weights, share, most, None, seed, bins)
+    taken = staged(_edge_rows(_placed(base, plan, edges, seed, bins)).filter("_more = 1").select(F.col("doc_id").alias("_t")).distinct(), "taken")
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(F.col(text_col)).alias("size"),
+    )
+    placed = _placed(rows, plan, edges, seed, bins).join(small(taken, 10 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_t")), "left")
+    more = F.when(_at_edge(), F.col("_t").isNotNull()).otherwise(_below_edge()).cast("int")
+    copies = F.col("_whole").cast("int") + more
+    return placed.select(F.explode(F.array_repeat("_row", copies)).alias("_row")).select("_row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ def _cut(path: str | None, capacity: int, end_id: int):
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                raw = ids + end
                 n = len(raw) >> 2
                 borders = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False))]

@@ -28,7 +28,7 @@ def _encode(path: str | None, end_id: int):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for low in range(0, len(ids), 256):
-                raw = [enc.encode(t or "") + end for t in texts[low : low + 256].to_pylist()]
+                raw = [r + end for r in enc.encode(texts[low : low + 256].to_pylist())]
                 n = np.array([len(r) >> 2 for r in raw], np.int64)
                 ends = np.cumsum(n)
                 flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))

@@ -4,30 +4,58 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: White space as the byte-level pattern has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text only where the byte-level pattern cuts it too: before a blank and word, around runs of white space.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Chunks that a worker remembers: two generations of so many.
-CACHE = 250_000
+CACHE = 400_000
+_encoders: dict[str | None, Encoder] = {}
 
-_encoders: dict[str, "Encoder"] = {}
 
+class Encoder(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit integers; a chunk is encoded once as long as it is remembered.
 
-class _Chunks(dict):
-    """Ids of a chunk as little-endian unsigned 32-bit integers; asks the tokenizer for those it hasn't met."""
+    The library's own cutting of a text costs several times its merging, so Latin chunks are cut here, by the
+    vocabulary's public pattern, and merged by the library; all others are left to the library as a whole.
+    """
 
-    def __init__(self, encode):
+    def __init__(self, path: str):
         super().__init__()
-        self.encode, self.old = encode, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.merge = self.whole.model.tokenize
+        if hasattr(self.whole.model, "_resize_cache"):
+            self.whole.model._resize_cache(0)  # chunks are remembered here
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall if "ByteLevel" in str(self.whole.pre_tokenizer) else None
+        # the printable stand-ins of bytes in a byte-level vocabulary
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in plain]
+        self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.old: dict[str, bytes] = {}
+
+    def alone(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            import numpy as np
-
-            found = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            if self.pieces is not None and chunk.isascii() and chunk.isprintable():
+                # the blank is the only one of these bytes with a stand-in; a blank and letters are one piece in any case
+                known = chunk.replace(" ", self.stand_in[32])
+                pieces = (known,) if known.isalpha() else [p.replace(" ", self.stand_in[32]) for p in self.pieces(chunk)]
+                found = array("I", [t.id for p in pieces for t in self.merge(p)]).tobytes()
+            elif self.pieces is not None and max(chunk) <= "\u024f":
+                found = array("I", [t.id for p in self.pieces(chunk) for t in self.merge(p.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+            else:
+                found = self.alone(chunk)
         if len(chunk) <= 64:
             if len(self) >= CACHE:
                 self.old = dict(self)
@@ -35,24 +63,14 @@ class _Chunks(dict):
             self[chunk] = found
         return found
 
-
-class Encoder:
-    """tokenizers' ids, each distinct chunk of text encoded once as long as the worker remembers it."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.chunks = _Chunks(self.whole.encode)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # these are looked for before the text is cut
-            import numpy as np
-
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if text and any(s in text for s in self.special):  # these are looked for before a text is cut
+                out.append(self.alone(text))
+            else:
+                out.append(b"".join(map(self.__getitem__, _CHUNK.findall(text or ""))))
+        return out
 
 
 def encoder(path: str | None = None) -> Encoder:
