@@ -1,4 +1,291 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""Registered queries of the engine over the driver's tables, each with its DuckDB equivalent where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from matchloom.functions import hashing, paths, scoring, sizes
+from matchloom.operators import actions, cache, cluster, keeper, report, similarity, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _t(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- table analogues: documents are files, embeddings carry fingerprints ---
+
+
+def _files(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("checksum"), "doc_id")
+
+
+_FILES = "files AS (SELECT '/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path, n_chars AS size, sha256(text) AS checksum, doc_id FROM documents)"
+
+
+def _hashes(spark, sf_dir, phash_bits=62):
+    e = _t(spark, sf_dir, "embeddings")
+    p = hashing.bits_of(F.col("embedding"), phash_bits, lambda v, i: F.element_at(v, i + 1) > 0)
+    d = hashing.bits_of(F.col("embedding"), 62, lambda v, i: F.element_at(v, i + 2) > F.element_at(v, i + 1))
+    return e.select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("path"), F.col("vec_id").alias("size"), p.alias("phash"), d.alias("dhash"), "embedding")
+
+
+def _bits_sql(n: int, test: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {test.format(i=i + 1, j=i + 2)} THEN {1 << (n - 1 - i)}::BIGINT ELSE 0 END" for i in range(n)) + ")::BIGINT"
+
+
+_HASHES = f"hashes AS (SELECT lpad(vec_id::VARCHAR, 9, '0') AS path, vec_id AS size, {_bits_sql(62, 'embedding[{i}] > 0')} AS phash, {_bits_sql(62, 'embedding[{j}] > embedding[{i}]')} AS dhash FROM embeddings)"
+
+
+def _groups(spark, sf_dir):
+    """orders as groups by customer, sizes in cents."""
+    o = _t(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").cast("string").alias("group_id"), F.concat(F.lit("/"), "o_orderstatus", F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("path"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+    return cluster.ranked(rows)
+
+
+_GROUPS = """g0 AS (SELECT o_custkey::VARCHAR AS group_id, '/' || o_orderstatus || '/' || lpad(o_orderkey::VARCHAR, 9, '0') AS path, round(o_totalprice * 100)::BIGINT AS size FROM orders),
+members AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, path) - 1 AS ordinal, count(*) OVER (PARTITION BY group_id) AS group_size FROM g0 QUALIFY group_size >= 2)"""
+_RANKS = "ranks AS (SELECT group_id, n, max_size, first_path, row_number() OVER (ORDER BY n DESC, max_size DESC, first_path) AS rank FROM (SELECT group_id, count(*) AS n, max(size) AS max_size, arg_min(path, ordinal) AS first_path FROM members GROUP BY group_id))"
+
+_EXACT = f"""WITH {_FILES}, m AS (SELECT checksum AS group_id, path, size, row_number() OVER (PARTITION BY checksum ORDER BY size DESC, path) - 1 AS ordinal,
+count(*) OVER (PARTITION BY checksum) AS group_size FROM files QUALIFY group_size >= 2)"""
+
+
+@query(f"{_EXACT} SELECT * FROM m")
+def exact_groups(spark, sf_dir):
+    return cluster.exact_groups(_files(spark, sf_dir))
+
+
+@query(f"{_EXACT} SELECT count(DISTINCT group_id) AS groups, count(*) AS files, coalesce(sum(size) FILTER (ordinal > 0), 0)::BIGINT AS recoverable FROM m")
+def exact_group_summary(spark, sf_dir):
+    return report.summary(cluster.exact_groups(_files(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT doc_id, encode(text) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n FROM d),
+h AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda k: printf('%02x', (n >> (8 * k)) & 255)), '') AS le FROM n)
+SELECT doc_id, sha256(unhex(le) || CASE WHEN n <= 3000 THEN b ELSE b[1:1000] || b[(n // 2 - 500 + 1):(n // 2 + 500)] || b[(n - 999):n] END) AS checksum FROM h""")
+def sampled_checksum(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", hashing.sampled_checksum(F.encode("text", "UTF-8"), 3000, 1000).alias("checksum"))
+
+
+@query(f"WITH {_HASHES} SELECT path, lpad(lower(to_hex(phash)), 16, '0') AS phash, lpad(lower(to_hex(dhash)), 16, '0') AS dhash FROM hashes")
+def perceptual_hashes(spark, sf_dir):
+    return _hashes(spark, sf_dir).select("path", hashing.bits_to_hex(F.col("phash")).alias("phash"), hashing.bits_to_hex(F.col("dhash")).alias("dhash"))
+
+
+@query(f"WITH {_HASHES} SELECT x.path AS a, y.path AS b, bit_count(xor(x.phash, y.phash))::INT AS distance FROM hashes x JOIN hashes y ON x.path < y.path AND bit_count(xor(x.phash, y.phash)) <= 18")
+def hamming_pairs(spark, sf_dir):
+    h = cluster.cut(_hashes(spark, sf_dir).select("path", "phash", "dhash"))
+    return similarity.hash_pairs(h, h, 18, second=False).filter("a < b")
+
+
+@query(f"""WITH e AS (SELECT lpad(vec_id::VARCHAR, 9, '0') AS path, vec_id AS size, {_bits_sql(12, 'embedding[{i}] > 0')} AS p FROM embeddings)
+SELECT min(path) OVER (PARTITION BY p) AS group_id, path, size, row_number() OVER (PARTITION BY p ORDER BY size DESC, path) - 1 AS ordinal, count(*) OVER (PARTITION BY p) AS group_size FROM e QUALIFY group_size >= 2""")
+def phash_groups(spark, sf_dir):
+    return cluster.leader_groups(_hashes(spark, sf_dir, 12).withColumn("dhash", F.lit(0).cast("bigint")), 0)
+
+
+def _sequential(t: int) -> str:
+    """The greedy loop as a recursive query over paths in order, with the leaders so far as its state."""
+    return f"""WITH RECURSIVE {_HASHES}, o AS (SELECT path, size, phash, row_number() OVER (ORDER BY path) AS i FROM hashes),
+e AS (SELECT x.i AS a, y.i AS b FROM o x JOIN o y ON y.i < x.i AND bit_count(xor(x.phash, y.phash)) <= {t}), n AS (SELECT a, list(b) AS bs FROM e GROUP BY a),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leads UNION ALL
+SELECT r.i + 1, CASE WHEN n.bs IS NOT NULL AND list_has_any(n.bs, r.leads) THEN r.leads ELSE list_append(r.leads, r.i + 1) END FROM r LEFT JOIN n ON n.a = r.i + 1 WHERE r.i < (SELECT max(i) FROM o)),
+l AS (SELECT leads FROM r ORDER BY i DESC LIMIT 1), m AS (SELECT o.*, CASE WHEN list_contains(l.leads, o.i) THEN o.i ELSE list_min(list_intersect(n.bs, l.leads)) END AS lead FROM o CROSS JOIN l LEFT JOIN n ON n.a = o.i)
+SELECT p.path AS group_id, m.path, m.size, row_number() OVER (PARTITION BY lead ORDER BY m.size DESC, m.path) - 1 AS ordinal, count(*) OVER (PARTITION BY lead) AS group_size FROM m JOIN o p ON p.i = m.lead QUALIFY group_size >= 2"""
+
+
+@query(_sequential(18))
+def leader_groups(spark, sf_dir):
+    return cluster.leader_groups(_hashes(spark, sf_dir).withColumn("dhash", F.lit(0).cast("bigint")), 18)
+
+
+def _videos(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    frames = F.array(*[hashing.bits_of(F.slice("embedding", 8 * k + 1, 8), 8, lambda v, i: F.element_at(v, i + 1) > 0) for k in range(8)])
+    return e.select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("path"), F.col("vec_id").alias("size"), (F.col("vec_id") % 97 * 5).cast("double").alias("duration"), frames.alias("frames"))
+
+
+_VIDEOS = "videos AS (SELECT lpad(vec_id::VARCHAR, 9, '0') AS path, vec_id AS size, (vec_id % 97 * 5)::DOUBLE AS duration, [" + ", ".join(_bits_sql(8, f"embedding[{8 * k} + {{i}}] > 0") for k in range(8)) + "] AS frames FROM embeddings)"
+_NEAR = """pairs AS (SELECT x.path AS a, y.path AS b, list_sum(list_transform(range(1, 9), lambda k: bit_count(xor(x.frames[k], y.frames[k]))))::DOUBLE / 8 AS distance
+FROM videos x JOIN videos y ON x.path < y.path AND abs(x.duration - y.duration) <= greatest(10.0, 0.05 * greatest(x.duration, y.duration)))"""
+
+
+@query(f"WITH {_VIDEOS}, {_NEAR} SELECT * FROM pairs WHERE distance <= 2.5")
+def video_pairs(spark, sf_dir):
+    v = cluster.cut(_videos(spark, sf_dir))
+    return similarity.video_pairs(v, v, 2.5).filter("a < b")
+
+
+@query(f"""WITH RECURSIVE {_VIDEOS}, {_NEAR}, e AS (SELECT a, b FROM pairs WHERE distance <= 2.5 UNION SELECT b, a FROM pairs WHERE distance <= 2.5),
+c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen), l AS (SELECT node, min(seen) AS group_id FROM c GROUP BY node)
+SELECT group_id, path, size, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, path) - 1 AS ordinal, count(*) OVER (PARTITION BY group_id) AS group_size FROM l JOIN videos ON path = node""")
+def video_components(spark, sf_dir):
+    return cluster.video_groups(_videos(spark, sf_dir), 2.5)
+
+
+@query("""SELECT path, status, size FROM (SELECT d.doc_id AS path, d.n_chars AS size, CASE WHEN d.doc_id % 7 = 0 THEN 'new' WHEN d.doc_id % 7 = 1 OR d.doc_id % 7 >= 5 THEN 'stale' ELSE 'hit' END AS status FROM documents d)""")
+def cache_status(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(1000.0).alias("mtime"))
+    k = F.col("path") % 7
+    old = d.filter(k != 0).withColumn("size", F.when(k == 1, F.col("size") + 1).otherwise(F.col("size"))).withColumn("mtime", F.col("mtime") + F.when(k == 4, 1.0).when(k == 5, 2.0).when(k == 6, 3.0).otherwise(0.0))
+    return cache.cache_status(d, old).select("path", "status", "size")
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (doc_id % 7 BETWEEN 2 AND 4) AS hits, count(*) FILTER (doc_id % 7 = 0) AS new, count(*) FILTER (doc_id % 7 IN (1, 5, 6)) AS rehashed FROM documents")
+def cache_counters(spark, sf_dir):
+    return cache.counters(cache_status(spark, sf_dir))
+
+
+_NAME = "regexp_replace({x}, '([^.])\\.[^.]+$', '\\1')"
+_WORDS = "list_filter(regexp_split_to_array({x}, '[\\s_\\-\\d]+'), lambda t: NOT list_contains([{noise}], upper(t)))"
+_SCORE = "length(regexp_replace(array_to_string(" + _WORDS + ", ''), '[^a-zA-Z]', '', 'g'))"
+
+
+def _score_sql(x: str, noise) -> str:
+    return _SCORE.format(x=x, noise=", ".join(f"'{w}'" for w in noise))
+
+
+def _photos(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, "IMG_").otherwise(""), F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".jpg"))
+    path = F.concat(F.lit("/lib/"), F.when(F.col("p_partkey") % 4 == 0, "Photos 2023").otherwise(F.col("p_brand")), F.lit("/"), name)
+    return cluster.ranked(p.select(F.col("p_size").alias("group_id"), path.alias("path"), F.round(F.col("p_retailprice") * 100).cast("long").alias("size")))
+
+
+_PHOTOS = f"""p0 AS (SELECT p_size AS group_id, CASE WHEN p_partkey % 4 = 0 THEN 'Photos 2023' ELSE p_brand END AS folder,
+CASE WHEN p_partkey % 3 = 0 THEN 'IMG_' ELSE '' END || translate(p_name, ' ', '_') || '_' || p_partkey || '.jpg' AS name, round(p_retailprice * 100)::BIGINT AS size FROM part),
+p1 AS (SELECT *, '/lib/' || folder || '/' || name AS path, '/lib/' || folder AS dir FROM p0),
+photos AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, path) - 1 AS ordinal, count(*) OVER (PARTITION BY group_id) AS c,
+{_score_sql(_NAME.format(x="name"), scoring.NAME_NOISE)} AS ns, {_score_sql("folder", scoring.FOLDER_NOISE)} AS fs FROM p1 QUALIFY c >= 2)"""
+
+
+@query(f"WITH {_PHOTOS} SELECT path, ns::INT AS name_score, fs::INT AS folder_score FROM photos")
+def name_and_folder_scores(spark, sf_dir):
+    return keeper.scored(_photos(spark, sf_dir)).select("path", "name_score", "folder_score")
+
+
+@query(f"""WITH {_PHOTOS}, k AS (SELECT group_id, path, ns, fs FROM photos WHERE ordinal = 0),
+n AS (SELECT DISTINCT ON (group_id) group_id, path, ordinal FROM photos ORDER BY group_id, ns DESC, ordinal), f AS (SELECT DISTINCT ON (group_id) group_id, path, ordinal FROM photos ORDER BY group_id, fs DESC, ordinal)
+SELECT group_id, k.path AS keep, CASE WHEN n.ordinal > 0 THEN n.path END AS rename_src, CASE WHEN f.ordinal > 0 THEN f.path END AS folder_src FROM k JOIN n USING (group_id) JOIN f USING (group_id)""")
+def smart_defaults(spark, sf_dir):
+    return keeper.smart_defaults(keeper.scored(_photos(spark, sf_dir)))
+
+
+@query(f"""WITH {_PHOTOS}, k AS (SELECT DISTINCT ON (group_id) * FROM photos ORDER BY group_id, fs DESC, ns DESC, ordinal), n AS (SELECT DISTINCT ON (group_id) * FROM photos ORDER BY group_id, ns DESC, ordinal)
+SELECT group_id, k.path AS keep, CASE WHEN n.ns > k.ns THEN k.dir || '/' || n.name ELSE k.path END AS final FROM k JOIN n USING (group_id)""")
+def exact_keep(spark, sf_dir):
+    return keeper.exact_keep(keeper.scored(_photos(spark, sf_dir)))
+
+
+@query(f"WITH {_PHOTOS} SELECT DISTINCT ON (group_id) group_id, path AS keep FROM photos ORDER BY group_id, fs DESC, ns DESC, ordinal")
+def pick_keeper(spark, sf_dir):
+    return keeper.pick_keeper(keeper.scored(_photos(spark, sf_dir)))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT * CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END)::BIGINT AS bytes FROM lineitem")
+def parse_sizes(spark, sf_dir):
+    unit = F.element_at(F.array(F.lit(""), F.lit("kb"), F.lit(" MB"), F.lit("GB ")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), unit)
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sizes.size_bytes(text).alias("bytes"))
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, path, size FROM members WHERE group_id IN (SELECT group_id FROM members GROUP BY group_id HAVING max(size) - min(size) >= 20000000)")
+def delta_filter(spark, sf_dir):
+    return report.spread_at_least(_groups(spark, sf_dir), 20_000_000).select("group_id", "path", "size")
+
+
+@query(f"WITH {_GROUPS}, {_RANKS} SELECT group_id, path, size FROM members WHERE group_id IN (SELECT group_id FROM ranks WHERE rank <= 25)")
+def limit_groups(spark, sf_dir):
+    return report.first_groups(_groups(spark, sf_dir), 25).select("group_id", "path", "size")
+
+
+@query(f"WITH {_GROUPS}, {_RANKS} SELECT group_id, rank, (rank - 1) // 20 AS page FROM ranks")
+def pages_of_groups(spark, sf_dir):
+    return report.pages(_groups(spark, sf_dir), 20)
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS dirs, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) = 1 AS together FROM members GROUP BY group_id")
+def same_folder_split(spark, sf_dir):
+    return report.same_folder(_groups(spark, sf_dir))
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, path, 0 AS source_ordinal FROM members UNION ALL SELECT group_id, path, 1 FROM members WHERE ordinal = 0")
+def union_sources(spark, sf_dir):
+    g = _groups(spark, sf_dir).select("group_id", "path", "ordinal")
+    return report.union_sources(g, g.filter("ordinal = 0")).select("group_id", "path", "source_ordinal")
+
+
+def _kept(spark, sf_dir):
+    return _groups(spark, sf_dir).filter(F.substring("path", 2, 1) == "F").select("path")
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, path FROM members WHERE path[2] <> 'F'")
+def to_delete(spark, sf_dir):
+    return actions.to_delete(_groups(spark, sf_dir), _kept(spark, sf_dir)).select("group_id", "path")
+
+
+@query(f"WITH {_GROUPS} SELECT group_id FROM members GROUP BY group_id HAVING NOT bool_or(path[2] = 'F')")
+def group_guard(spark, sf_dir):
+    return actions.unguarded(_groups(spark, sf_dir), _kept(spark, sf_dir))
+
+
+@query(f"WITH {_GROUPS} SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM members WHERE path[2] <> 'F'")
+def recoverable(spark, sf_dir):
+    return actions.recoverable(_groups(spark, sf_dir), _kept(spark, sf_dir))
+
+
+@query(f"WITH {_HASHES} SELECT path FROM hashes x WHERE size % 5 = 0 AND NOT EXISTS (SELECT 1 FROM hashes y WHERE y.size % 5 <> 0 AND bit_count(xor(x.phash, y.phash)) <= 18)")
+def verify_images(spark, sf_dir):
+    h = cluster.cut(_hashes(spark, sf_dir).withColumn("dhash", F.lit(0).cast("bigint")))
+    return verify.unmatched_images(h.filter("size % 5 = 0"), h.filter("size % 5 != 0"), 18).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM files WHERE doc_id % 5 = 0 AND checksum NOT IN (SELECT checksum FROM files WHERE doc_id % 5 <> 0)")
+def verify_checksums(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return verify.unmatched_checksums(f.filter("doc_id % 5 = 0"), f.filter("doc_id % 5 != 0")).select("path")
+
+
+@query(f"""WITH {_VIDEOS} SELECT path FROM videos x WHERE size % 5 = 0 AND NOT EXISTS (SELECT 1 FROM videos y WHERE y.size % 5 <> 0
+AND abs(x.duration - y.duration) <= greatest(10.0, 0.05 * greatest(x.duration, y.duration)) AND list_sum(list_transform(range(1, 9), lambda k: bit_count(xor(x.frames[k], y.frames[k]))))::DOUBLE / 8 <= 2.5)""")
+def verify_videos(spark, sf_dir):
+    v = cluster.cut(_videos(spark, sf_dir).withColumn("checksum", F.col("path")))
+    return verify.unmatched_videos(v.filter("size % 5 = 0"), v.filter("size % 5 != 0"), 2.5).select("path")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 1)")
+def suffix_filter(spark, sf_dir):
+    name = F.concat(F.lit("/a/x"), F.element_at(F.array(*map(F.lit, (".JPG", ".mp4", ".txt", "jpg"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    return _t(spark, sf_dir, "documents").filter(paths.has_suffix(name, paths.MEDIA_SUFFIXES)).select("doc_id")
+
+
+@query("""SELECT src, CASE WHEN i = 0 THEN '/t/' || n || '.jpg' ELSE '/t/' || n || '_' || i || '.jpg' END AS dst
+FROM (SELECT p_partkey AS src, p_brand AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)""")
+def unique_targets(spark, sf_dir):
+    moves = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.concat(F.lit("/t/"), "p_brand", F.lit(".jpg")).alias("dst"))
+    return actions.unique_targets(moves, spark.createDataFrame([], "path string"))
+
+
+@query("""SELECT x.p_partkey, count(*) AS near FROM part x JOIN part y ON abs(x.p_retailprice - y.p_retailprice) <= greatest(10.0, 0.05 * greatest(x.p_retailprice, y.p_retailprice)) AND x.p_size = y.p_size AND x.p_brand = y.p_brand GROUP BY x.p_partkey""")
+def range_join_price(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    a = p.withColumn("bucket", hashing.duration_bucket(F.col("p_retailprice")))
+    near = F.explode(F.array(*[hashing.duration_bucket(F.col("p_retailprice")) + k for k in (-1, 0, 1)]))
+    b = p.select("p_size", "p_brand", F.col("p_retailprice").alias("other"), near.alias("bucket"))
+    return a.join(b, ["p_size", "p_brand", "bucket"]).filter(hashing.duration_close(F.col("p_retailprice"), F.col("other"))).groupBy("p_partkey").agg(F.count("*").alias("near"))
