@@ -16,6 +16,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Patterns that the multiplicative weights ask the knapsack for.
 ROUNDS = 700
+#: How strongly prices rise for lengths that lag behind in being covered.
+TILT = 8.0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -87,7 +89,7 @@ def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple
                 break
             # price of a length: its size, tilted by how far it is covered beyond the mean; none once covered
             mean = float((lengths * covered).sum()) / capacity / bound
-            price = np.where(share < 1, lengths * np.exp(-2.0 * (np.minimum(share, 1) - mean)) * (1 + 1e-4 * lengths / capacity), 0)
+            price = np.where(share < 1, lengths * np.exp(-TILT * (np.minimum(share, 1) - mean)) * (1 + 1e-4 * lengths / capacity), 0)
             pattern = knapsack(price, capacity)
             used = pattern > 0
             if not used.any():
