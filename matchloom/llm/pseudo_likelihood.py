@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import arrow_limits, partitions, staged, table
 
-#: Word classes: CLUSTERS * CLUSTERS. The KNOWN commonest words have a class of their own, others share the rest by hash.
+#: The head of the softmax: CLUSTERS * CLUSTERS branches. The KNOWN commonest words have one each, the TAIL others hold all further classes.
 CLUSTERS = 32
 CLASSES = CLUSTERS * CLUSTERS
 KNOWN = 768
+TAIL = CLASSES - KNOWN
+#: Words with a class of their own: GROWTH * square root of the number of different words, KNOWN at least.
+GROWTH = 4.5
 #: Words on either side that the network sees.
 SIDE = 2
 WIDTH = 16
@@ -28,17 +31,31 @@ BLOCK = 8192
 SALTS = 16
 
 
+def _own(known: int) -> int:
+    """The first class that words share: known, in whole layers of the tail's branches."""
+    return KNOWN + TAIL * max(0, -(-(known - KNOWN) // TAIL))
+
+
+def _shared(known: int) -> int:
+    return TAIL * max(1, round(_own(known) / 3 / TAIL))
+
+
+def classes_of(known: list[str]) -> int:
+    return _own(len(known)) + _shared(len(known))
+
+
 class _Ids(dict):
     """Class of a word; remembers up to 300,000 of them."""
 
     def __init__(self, known: list[str]):
         super().__init__()
+        self.own, self.shared = _own(len(known)), _shared(len(known))
         self.known = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(known)}
 
     def __missing__(self, word: bytes) -> int:
         k = self.known.get(word)
         if k is None:
-            k = KNOWN + zlib.crc32(word) % (CLASSES - KNOWN)
+            k = self.own + zlib.crc32(word) % self.shared
         if len(self) >= 300_000:
             self.clear()
         if len(word) <= 64:
@@ -48,30 +65,39 @@ class _Ids(dict):
 
 @dataclass
 class Network:
-    """embed: a table for each place around the word; hidden layer tanh(sum); softmax over clusters, then over the words of one."""
+    """embed: a table for each place around the word; hidden layer tanh(sum); softmax over clusters, then over the branches of one.
+
+    Branch KNOWN + t holds the classes KNOWN + t + TAIL * j; where there are more than CLASSES, a third softmax chooses j.
+    """
 
-    embed: np.ndarray  # places * (CLASSES + 1), WIDTH; class CLASSES: outside the text
+    embed: np.ndarray  # places * (classes + 1), WIDTH; class `classes`: outside the text
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    w3: np.ndarray
+    b3: np.ndarray
 
     @staticmethod
-    def shapes() -> list[tuple[int, ...]]:
-        return [(2 * SIDE * (CLASSES + 1), WIDTH), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, CLUSTERS), (CLUSTERS, CLUSTERS)]
+    def shapes(classes: int = CLASSES) -> list[tuple[int, ...]]:
+        layers = (classes - KNOWN) // TAIL if classes > CLASSES else 0
+        return [
+            (2 * SIDE * (classes + 1), WIDTH), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, CLUSTERS), (CLUSTERS, CLUSTERS),
+            (TAIL, WIDTH, layers), (TAIL, layers),
+        ]
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
+    def of(cls, flat: np.ndarray, classes: int = CLASSES) -> Network:
         parts, at = [], 0
-        for shape in cls.shapes():
+        for shape in cls.shapes(classes):
             n = int(np.prod(shape))
             parts.append(flat[at : at + n].reshape(shape))
             at += n
         return cls(*parts)
 
     @classmethod
-    def start(cls) -> np.ndarray:
-        n = sum(int(np.prod(s)) for s in cls.shapes())
+    def start(cls, classes: int = CLASSES) -> np.ndarray:
+        n = sum(int(np.prod(s)) for s in cls.shapes(classes))
         return (np.random.default_rng(SEED).standard_normal(n) * 0.1).astype(np.float32)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
@@ -80,44 +106,79 @@ class Network:
             h += self.embed[context[:, place]]
         return np.tanh(h, out=h)
 
+    def levels(self, target: np.ndarray):
+        """Below the clusters: weights, biases, their gradients' places, and (node, rows of target, branches taken) by node."""
+        branch, deep = target, []
+        if self.b3.size:
+            layer, t = np.divmod(target - KNOWN, TAIL)
+            tail = np.flatnonzero(target >= KNOWN)
+            branch = np.where(target < KNOWN, target, KNOWN + t)
+            deep = [(self.w3, self.b3, _by_node(t[tail], tail, layer[tail], TAIL))]
+        k, j = np.divmod(branch, CLUSTERS)
+        return k, [(self.w2, self.b2, _by_node(k, np.arange(len(k)), j, CLUSTERS)), *deep]
+
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        k, j = np.divmod(target, CLUSTERS)
-        rows = np.arange(len(target))
+        k, levels = self.levels(target)
         z = h @ self.w1 + self.b1
-        out = z[rows, k] - _log_sum(z)
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLUSTERS + 1))
-        for c in range(CLUSTERS):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                z = h[at] @ self.w2[c] + self.b2[c]
-                out[at] += z[np.arange(len(at)), j[at]] - _log_sum(z)
+        out = z[np.arange(len(target)), k] - _log_sum(z)
+        for w, b, nodes in levels:
+            for c, at, j in nodes:
+                z = h[at] @ w[c] + b[c]
+                out[at] += z[np.arange(len(at)), j] - _log_sum(z)
         return out
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-probability, flat."""
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of the mean negative log-probability: the rows of embed that occur, and theirs and the other parts' gradients."""
         n = len(target)
         h = self.hidden(context)
-        k, j = np.divmod(target, CLUSTERS)
+        k, levels = self.levels(target)
         p = _softmax(h @ self.w1 + self.b1)
         p[np.arange(n), k] -= 1
         dh = p @ self.w1.T
-        dw2, db2 = np.zeros_like(self.w2), np.zeros_like(self.b2)
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLUSTERS + 1))
-        for c in range(CLUSTERS):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                q = _softmax(h[at] @ self.w2[c] + self.b2[c])
-                q[np.arange(len(at)), j[at]] -= 1
-                dw2[c], db2[c] = h[at].T @ q, q.sum(axis=0)
-                dh[at] += q @ self.w2[c].T
+        parts = [h.T @ p, p.sum(axis=0)]
+        for w, b, nodes in levels:
+            dw, db = np.zeros_like(w), np.zeros_like(b)
+            for c, at, j in nodes:
+                own = h[at]
+                q = _softmax(own @ w[c] + b[c])
+                q[np.arange(len(at)), j] -= 1
+                dw[c], db[c] = own.T @ q, q.sum(axis=0)
+                dh[at] += q @ w[c].T
+            parts += [dw, db]
+        if len(parts) == 4:
+            parts += [np.zeros_like(self.w3), np.zeros_like(self.b3)]
         dh *= 1 - h * h
-        flat = context.T.ravel()
-        de = np.stack([np.bincount(flat, np.tile(dh[:, d], 2 * SIDE), len(self.embed)) for d in range(WIDTH)], axis=1)
-        parts = [de, h.T @ p, p.sum(axis=0), dw2, db2]
-        return np.concatenate([x.ravel() for x in parts]).astype(np.float32) / n
+        flat = context.ravel()
+        order = np.argsort(flat, kind="stable")
+        inside = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+        de = np.add.reduceat(dh[order // (2 * SIDE)], first, axis=0)
+        return inside[first], [x / n for x in (de, *parts)]
+
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """gradients(), flat."""
+        rows, (de, *parts) = self.gradients(context, target)
+        whole = np.zeros(self.embed.shape)
+        whole[rows] = de
+        return np.concatenate([x.ravel() for x in (whole, *parts)]).astype(np.float32)
+
+    def step(self, squares: Network, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+        """Adagrad, in place."""
+        rows, (de, *parts) = self.gradients(context, target)
+        squares.embed[rows] += de * de
+        self.embed[rows] -= rate * de / np.sqrt(squares.embed[rows])
+        for name, g in zip(("w1", "b1", "w2", "b2", "w3", "b3"), parts, strict=True):
+            sums, own = getattr(squares, name), getattr(self, name)
+            sums += g * g
+            own -= rate * g / np.sqrt(sums)
+
+
+def _by_node(node: np.ndarray, at: np.ndarray, branch: np.ndarray, nodes: int):
+    order = np.argsort(node.astype(np.int16), kind="stable")
+    ends = np.searchsorted(node[order], np.arange(nodes + 1))
+    at, branch = at[order], branch[order]
+    return [(c, at[a:b], branch[a:b]) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
 
 
 #: Logits stop here, far beyond what a hidden layer of tanh gives, so that exp() stays finite without a search for the largest.
@@ -134,15 +195,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e
 
 
-def windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(docs: list[list[int]], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts (rows of the embedding tables), targets and document numbers of all words of some documents."""
-    pad = [CLASSES] * SIDE
+    pad = [classes] * SIDE
     flat = np.fromiter(chain.from_iterable(chain(pad, d, pad) for d in docs), np.int32)
     sizes = np.array([len(d) for d in docs], np.int64)
     owner = np.repeat(np.arange(len(docs)), sizes)
     at = np.arange(int(sizes.sum())) + owner * 2 * SIDE + SIDE
     places = [k for k in range(-SIDE, SIDE + 1) if k]
-    context = np.stack([flat[at + p] + i * (CLASSES + 1) for i, p in enumerate(places)], axis=1)
+    context = np.stack([flat[at + p] + i * (classes + 1) for i, p in enumerate(places)], axis=1)
     return context, flat[at], owner
 
 
@@ -154,26 +215,34 @@ def _split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()  # bytes are split at [\x20\x09-\x0D]
 
 
-def known_words(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> list[str]:
-    """The commonest words of all texts, by count and then by code point; counts cover every word of every row."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, count: every different word of all texts, over every row."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(known)
-    return [r.word for r in top.collect()]
+    return staged(words.groupBy("word").count(), "words")
+
+
+def commonest(counts: DataFrame, share: float = 1) -> list[tuple[str, int]]:
+    """The commonest words, by count and then by code point: `share` times as many as have classes of their own."""
+    n = max(KNOWN, int(GROWTH * counts.count() ** 0.5))
+    return [(r.word, r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(int(n * share)).collect()]
+
+
+def known_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The words with classes of their own, commonest first; their number grows with that of the different words."""
+    return [w for w, _ in commonest(word_counts(docs, text_col))]
 
 
 def _train(known: list[str], start: np.ndarray, rate: float):
     def run(batches):
-        flat = start.copy()
-        net, squares, seen, ids = Network.of(flat), np.full(len(flat), 1e-6, np.float32), 0, _Ids(known)
+        flat, classes = start.copy(), classes_of(known)
+        net, squares, seen, ids = Network.of(flat, classes), Network.of(np.full(len(flat), 1e-6, np.float32), classes), 0, _Ids(known)
         for batch in batches:
-            context, target, _ = windows(_texts(batch, 0, ids))
+            context, target, _ = windows(_texts(batch, 0, ids), classes)
             for at in range(0, len(target), MINIBATCH):
-                g = net.gradient(context[at : at + MINIBATCH], target[at : at + MINIBATCH])
-                squares += g * g
-                flat -= rate * g / np.sqrt(squares)
+                net.step(squares, context[at : at + MINIBATCH], target[at : at + MINIBATCH], rate)
             seen += len(target)
         if seen:
-            yield _blocks(flat.astype(np.float64) * seen, seen)
+            yield _blocks(flat * np.float32(seen), seen)
 
     def _blocks(sums, seen):
         import pyarrow as pa
@@ -192,15 +261,15 @@ def _add(batches):
     total: dict[int, list] = {}
     for batch in batches:
         for block, seen, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            x = np.frombuffer(raw)
+            x = np.frombuffer(raw, np.float32)
             if block in total:
                 total[block][0] += seen
                 total[block][1] += x
             else:
-                total[block] = [seen, x.copy()]
+                total[block] = [seen, x.astype(np.float64)]
     if total:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([t[0] for t in total.values()], pa.int64()), pa.array([t[1].tobytes() for t in total.values()], pa.binary())],
+            [pa.array(list(total), pa.int32()), pa.array([t[0] for t in total.values()], pa.int64()), pa.array([t[1].astype(np.float32).tobytes() for t in total.values()], pa.binary())],
             ["block", "seen", "sums"],
         )
 
@@ -216,7 +285,7 @@ def train(docs: DataFrame, known: list[str], text_col: str = "text", rounds: int
     the number of tasks. The next round starts from the average.
     """
     arrow_limits(docs.sparkSession)
-    flat = Network.start()
+    flat = Network.start(classes_of(known))
     blocks = -(-len(flat) // BLOCK)
     for _ in range(rounds):
         own = docs.select(text_col).mapInArrow(_train(known, flat, rate), _SUMS)
@@ -226,7 +295,7 @@ def train(docs: DataFrame, known: list[str], text_col: str = "text", rounds: int
         rows = sorted(staged(whole, "network").collect(), key=lambda r: r.block)
         if not rows:
             break
-        flat = np.concatenate([np.frombuffer(r.sums) / r.seen for r in rows]).astype(np.float32)
+        flat = np.concatenate([np.frombuffer(r.sums, np.float32) / r.seen for r in rows]).astype(np.float32)
     return flat
 
 
@@ -234,13 +303,14 @@ def _score(known: list[str], flat: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        net, ids = Network.of(flat), _Ids(known)
+        classes = classes_of(known)
+        net, ids = Network.of(flat, classes), _Ids(known)
         for batch in batches:
             docs = _texts(batch, 1, ids)
-            context, target, owner = windows(docs)
+            context, target, owner = windows(docs, classes)
             out = np.zeros(len(docs))
-            for at in range(0, len(target), MINIBATCH):
-                part = slice(at, at + MINIBATCH)
+            for at in range(0, len(target), 8 * MINIBATCH):
+                part = slice(at, at + 8 * MINIBATCH)
                 out += np.bincount(owner[part], net.log_probs(context[part], target[part]), len(docs))
             n = np.array([len(d) for d in docs], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(out), pa.array(out / np.maximum(n, 1))], ["doc_id", "n_words", "log_prob", "score"])

@@ -292,3 +292,24 @@ def test_pipeline(spark, texts):
             n = at.count()
             assert sum(r.piece == 0 for r in after) == n
             assert sum(r.length for r in after) == sum(len(ids_of(r.text)) for r in at.collect())
+
+
+def test_word_classes_grow(spark, docs):
+    words = [f"w{k}" for k in range(40000)]
+    many = spark.createDataFrame([(k, " ".join(words[k::40] * 2)) for k in range(40)], "doc_id long, text string")
+    known = pseudo_likelihood.known_words(many)
+    assert len(known) == 900 > 768 and pseudo_likelihood.classes_of(known) > 1024 == pseudo_likelihood.classes_of(pseudo_likelihood.known_words(docs))
+    ids = pseudo_likelihood._Ids(known)
+    assert len({ids[w.encode()] for w in known}) == 900
+    classes = pseudo_likelihood.classes_of(known)
+    flat = pseudo_likelihood.Network.start(classes).astype(float)
+    context, target, _ = pseudo_likelihood.windows([list(np.random.default_rng(0).integers(0, classes, 40))], classes)
+    g = pseudo_likelihood.Network.of(flat, classes).gradient(context, target)
+    for k in [*np.argsort(-np.abs(g))[[0, 50, 500]], len(g) - 1 - np.argmax(np.abs(g[::-1][:1000]))]:
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        slope = (pseudo_likelihood.Network.of(down, classes).log_probs(context, target).mean() - pseudo_likelihood.Network.of(up, classes).log_probs(context, target).mean()) / 2e-5
+        assert abs(slope - g[k]) < 1e-5
+    every = np.arange(classes)  # one context, every class: the whole mass
+    assert abs(np.exp(pseudo_likelihood.Network.of(flat, classes).log_probs(np.repeat(context[:1], classes, axis=0), every)).sum() - 1) < 1e-6
