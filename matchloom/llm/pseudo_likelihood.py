@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -19,6 +20,10 @@ KNOWN = 768
 TAIL = CLASSES - KNOWN
 #: Words with a class of their own: GROWTH * square root of the number of different words, KNOWN at least.
 GROWTH = 4.5
+#: Added to every count within a shared class. As many words as it is known to hold are taken to be unseen.
+SMOOTH = 0.5
+#: Counts that tasks hold at once: so many times the words with classes of their own. Rarer words meet theirs in a join.
+HELD = 16
 #: Words on either side that the network sees.
 SIDE = 2
 WIDTH = 16
@@ -221,10 +226,23 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return staged(words.groupBy("word").count(), "words")
 
 
-def commonest(counts: DataFrame, share: float = 1) -> list[tuple[str, int]]:
-    """The commonest words, by count and then by code point: `share` times as many as have classes of their own."""
-    n = max(KNOWN, int(GROWTH * counts.count() ** 0.5))
-    return [(r.word, r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(int(n * share)).collect()]
+def commonest(counts: DataFrame, share: int = 1) -> list[tuple[str, int]]:
+    """The commonest words, by count and then by code point: `share` times as many as have classes of their own.
+
+    With a share above 1, words of the last count that would fit in part only are left out. The driver gets a
+    histogram of the counts first, then these words alone, not so many of every partition.
+    """
+    steps = sorted(((r["count"], r.n) for r in counts.groupBy("count").agg(F.count("*").alias("n")).collect()), reverse=True)
+    left = max(KNOWN, int(GROWTH * sum(n for _, n in steps) ** 0.5)) * share
+    least = None
+    for count, n in steps:
+        if n > left:
+            break
+        left, least = left - n, count
+    found = [] if least is None else [(r.word, r["count"]) for r in counts.filter(F.col("count") >= least).collect()]
+    if share == 1 and left and (least is None or count < least):
+        found += [(r.word, r["count"]) for r in counts.filter(F.col("count") == count).orderBy("word").limit(left).collect()] if steps else []
+    return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
 def known_words(docs: DataFrame, text_col: str = "text") -> list[str]:
@@ -299,40 +317,95 @@ def train(docs: DataFrame, known: list[str], text_col: str = "text", rounds: int
     return flat
 
 
-def _score(known: list[str], flat: np.ndarray):
+class _Within(dict):
+    """log p(word | its class) of the words whose counts a task holds: 0.0 where the class is the word's own; others get NaN."""
+
+    def __init__(self, words: list[tuple[str, int]], known: list[str], totals: np.ndarray):
+        super().__init__()
+        for word, n in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            self[raw] = math.log((n + SMOOTH) / totals[zlib.crc32(raw) % len(totals)])
+        self.update((w.encode("utf-8", "surrogatepass"), 0.0) for w in known)
+
+    def __missing__(self, word: bytes) -> float:
+        return math.nan
+
+
+def class_totals(counts: DataFrame, known: list[str]) -> np.ndarray:
+    """What smoothed counts within each shared class add up to: those of its words, and as many unseen ones (one at least)."""
+    words = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in known], "word string")), "word", "left_anti")
+    by_class = words.groupBy((F.crc32(F.col("word").cast("binary")) % _shared(len(known))).cast("int").alias("k")).agg(F.count("*").alias("words"), F.sum("count").alias("tokens"))
+    totals = np.full(_shared(len(known)), SMOOTH)
+    for r in by_class.collect():
+        totals[r.k] = r.tokens + SMOOTH * 2 * r.words
+    return totals
+
+
+def _score(known: list[str], flat: np.ndarray, within: tuple[list[tuple[str, int]], np.ndarray] | None):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         classes = classes_of(known)
         net, ids = Network.of(flat, classes), _Ids(known)
+        terms = _Within(within[0], known, within[1]) if within else None
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            docs = _texts(batch, 1, ids)
+            words = [_split(t or "") for t in batch.column(1).to_pylist()]
+            docs = [list(map(ids.__getitem__, d)) for d in words]
             context, target, owner = windows(docs, classes)
-            out = np.zeros(len(docs))
+            out, rare = np.zeros(len(docs)), [[] for _ in docs]
             for at in range(0, len(target), 8 * MINIBATCH):
                 part = slice(at, at + 8 * MINIBATCH)
                 out += np.bincount(owner[part], net.log_probs(context[part], target[part]), len(docs))
+            if terms is not None:
+                more = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.float64, len(target))
+                out += np.bincount(owner, np.nan_to_num(more), len(docs))
+                starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+                for at in np.flatnonzero(np.isnan(more)).tolist():
+                    k = owner[at]
+                    rare[k].append(words[k][at - starts[k]])
             n = np.array([len(d) for d in docs], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(out), pa.array(out / np.maximum(n, 1))], ["doc_id", "n_words", "log_prob", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + len(docs))), batch.column(0), pa.array(n), pa.array(out), pa.array(rare, pa.list_(pa.binary()))],
+                ["row", "doc_id", "n_words", "log_prob", "rare"],
+            )
+            row += len(docs)
 
     return run
 
 
-def score_texts(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, log_prob (sum over all words of log p(word class | words on both sides)), score (by word).
+def score_texts(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """id_col, n_words, log_prob (sum over all words of log p(word | words on both sides)), score (by word).
 
+    p(word | context) = p(class | context) * p(word | class), the latter from the smoothed counts of word_counts();
+    without counts, log_prob sums log p(class | context) alone. A word that isn't counted gets the share of one unseen
+    word of its class.
     Null texts and texts without words get 0 and 0.0. Ids may be null or repeated, other columns are ignored,
     an empty table gives an empty result. Words that aren't among the commonest share classes by hash.
     """
     arrow_limits(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_score(known, flat), "doc_id long, n_words long, log_prob double, score double").withColumnRenamed("doc_id", id_col)
+    schema = "row long, doc_id long, n_words long, log_prob double, rare array<binary>"
+    if counts is None:
+        out = slim.mapInArrow(_score(known, flat, None), schema)
+    else:
+        held, totals = commonest(counts, HELD), class_totals(counts, known)
+        rows = staged(slim.mapInArrow(_score(known, flat, (held, totals)), schema), "scores")
+        words = counts.select(F.col("word").cast("binary").alias("word"), "count").hint("shuffle_hash")
+        by_class = docs.sparkSession.createDataFrame([(k, float(t)) for k, t in enumerate(totals)], "k int, total double")
+        rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
+        rare = rare.select("row", "count", (F.crc32("word") % len(totals)).cast("int").alias("k")).join(F.broadcast(by_class), "k")
+        terms = rare.groupBy("row").agg(F.sum(F.log((F.coalesce("count", F.lit(0)) + SMOOTH) / F.col("total"))).alias("rest"))
+        out = rows.drop("rare").join(terms, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0)))
+    return out.select(F.col("doc_id").alias(id_col), "n_words", "log_prob", (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("score"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """Counts words, trains and scores, all over every row of docs."""
-    known = known_words(docs, text_col)
-    return score_texts(docs, known, train(docs, known, text_col, rounds), id_col, text_col)
+    counts = word_counts(docs, text_col)
+    known = [w for w, _ in commonest(counts)]
+    return score_texts(docs, known, train(docs, known, text_col, rounds), id_col, text_col, counts)
 
 
 def op8_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

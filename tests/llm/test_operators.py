@@ -313,3 +313,30 @@ def test_word_classes_grow(spark, docs):
         assert abs(slope - g[k]) < 1e-5
     every = np.arange(classes)  # one context, every class: the whole mass
     assert abs(np.exp(pseudo_likelihood.Network.of(flat, classes).log_probs(np.repeat(context[:1], classes, axis=0), every)).sum() - 1) < 1e-6
+
+
+def test_probability_of_each_word(spark, docs, texts, monkeypatch):
+    counts = pseudo_likelihood.word_counts(docs)
+    known = pseudo_likelihood.known_words(docs)
+    flat = pseudo_likelihood.Network.start()
+    n = Counter(w for t in texts.values() for w in t.encode().split())
+    ids = pseudo_likelihood._Ids(known)
+    inside = {}
+    for w, m in n.items():
+        if ids[w] >= 768:
+            inside.setdefault(ids[w], []).append(m)
+    log_p = lambda w: 0.0 if ids[w] < 768 else np.log((n[w] + 0.5) / (sum(inside[ids[w]]) + len(inside[ids[w]])))
+    junk = next(x for x in (f"zq{k}xj" for k in range(9999)) if ids[x.encode()] in inside and x.encode() not in n)
+    seen = next(w for w in n if ids[w] == ids[junk.encode()]).decode()
+    all_ = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, f"the {seen} x"), (-2, f"the {junk} x"), (None, junk), (None, None)], "doc_id long, text string"))
+    classes = {(r.doc_id, r.n_words): r.log_prob for r in pseudo_likelihood.score_texts(all_, known, flat).collect()}
+    for held in (16, 1):
+        monkeypatch.setattr(pseudo_likelihood, "HELD", held)
+        got = pseudo_likelihood.score_texts(all_, known, flat, counts=counts).collect()
+        assert len(got) == len(texts) + 4
+        want = {**texts, -1: f"the {seen} x", -2: f"the {junk} x"}
+        for r in got:
+            text = want[r.doc_id] if r.doc_id is not None else junk if r.n_words else ""
+            assert abs(r.log_prob - classes[r.doc_id, r.n_words] - sum(map(log_p, text.encode().split()))) < 1e-5 * max(1, r.n_words)
+        by = {r.doc_id: r.log_prob for r in got}
+        assert by[-2] < by[-1] - 0.9 and abs(classes[-1, 3] - classes[-2, 3]) < 1e-5
