@@ -340,3 +340,12 @@ def test_probability_of_each_word(spark, docs, texts, monkeypatch):
             assert abs(r.log_prob - classes[r.doc_id, r.n_words] - sum(map(log_p, text.encode().split()))) < 1e-5 * max(1, r.n_words)
         by = {r.doc_id: r.log_prob for r in got}
         assert by[-2] < by[-1] - 0.9 and abs(classes[-1, 3] - classes[-2, 3]) < 1e-5
+
+
+def test_formats_left_out_of_training():
+    good, plain = secrets_grammar.labelled_credentials()
+    new, ordinary = secrets_grammar.labelled_credentials(40, 77)
+    for k in range(9):  # credentials come format by format
+        scan = secrets_grammar.Scanner([x for n, x in enumerate(good) if n % 9 != k], plain)
+        assert sum(scan.score(x) >= secrets_grammar.MARGIN for x in new[k::9]) >= 36
+        assert np.mean([scan.score(x) >= secrets_grammar.MARGIN for x in ordinary]) < 0.02
