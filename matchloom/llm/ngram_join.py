@@ -88,17 +88,26 @@ def _sign(bands: int, rows: int, words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, keys: bool = False):
+    """N-gram sets by id, or by set_key."""
+
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
             sets = [ngram_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "ngrams"])
+            own = pa.array([xxhash.xxh3_128_digest(g) if g else None for g in sets], pa.binary()) if keys else batch.column(0)
+            yield pa.RecordBatch.from_arrays([own, pa.array(sets, pa.binary())], ["set_key" if keys else "node", "ngrams"])
 
     return run
 
 
+def _number(key: str):
+    """What stands for the id of a set whose documents have none: 2 ** 62 or more, so that real ids are less."""
+    return F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the common parts of every set on the left with every one on the right (None: the left ones themselves)."""
     sets = left if right is None else left + right
@@ -182,7 +191,8 @@ def ngram_links(
     a class is a connected set of linked texts, its id the least document id in it; n_links counts the other
     documents that a document is linked to. Texts of 1 to words - 1 words have one n-gram, all their words.
     Texts without words, null ones too, have no links and are classes of their own. Ids are taken to be unique
-    but for repeated rows, which are copies of each other. Other columns are ignored; empty tables give empty results.
+    but for repeated rows, which are copies of each other. Rows without an id are linked like others; a class in which no
+    row has an id gets a number of 2 ** 62 or more as its id, ids are to be below that. Other columns are ignored; empty tables give empty results.
 
     Plan: texts with equal sets are one node. Nodes are dealt by band hashes; a bucket gives each of its nodes one
     edge, to its least one, so buckets cost rows in proportion to their size. The components of these edges
@@ -198,7 +208,7 @@ def ngram_links(
     reps = staged(
         sig.filter("set_key is not null")
         .groupBy("set_key")
-        .agg(F.coalesce(F.min("doc_id"), F.min(F.xxhash64("set_key"))).alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
+        .agg(F.coalesce(F.min("doc_id"), F.min(_number("set_key"))).alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
         "nodes",
     )
     dealt = reps.select("node", F.explode("bands").alias("band"))
@@ -219,6 +229,8 @@ def ngram_links(
     )
     wanted = small(members.select(F.col("node").alias("doc_id")))
     sets = slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, ngrams binary")
+    unnamed = slim.filter("doc_id is null").mapInArrow(_sets(words, keys=True), "set_key binary, ngrams binary").filter("set_key is not null")
+    sets = sets.unionByName(unnamed.select(_number("set_key").alias("node"), "ngrams"))
     found = staged(
         whole.unionByName(cut).join(sets, "node").groupBy("task", "i", "j").applyInArrow(_compare(similarity), "node long, degree long, head long"),
         "links",

@@ -349,3 +349,15 @@ def test_formats_left_out_of_training():
         scan = secrets_grammar.Scanner([x for n, x in enumerate(good) if n % 9 != k], plain)
         assert sum(scan.score(x) >= secrets_grammar.MARGIN for x in new[k::9]) >= 36
         assert np.mean([scan.score(x) >= secrets_grammar.MARGIN for x in ordinary]) < 0.02
+
+
+def test_near_copies_without_an_id(spark):
+    base = [f"b{k}" for k in range(120)]
+    other = [f"c{k}" for k in range(120)]
+    rows = [(7, [*base, "x"]), (None, [*base, "y"]), (9, [*base, "z"]), (None, [*other, "x"]), (None, [*other, "y"]), (None, ["alone"] * 9)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.class_id, x.n_links) for x in ngram_join.ngram_links(df).collect())
+    ids = {c for k, c, n in got if c != 7}
+    assert [(k, n) for k, c, n in got if c == 7] == [(0, 2), (7, 2), (9, 2)]
+    assert len(ids) == 2 and min(ids) >= 1 << 62
+    assert sorted(n for _, c, n in got if c != 7) == [0, 1, 1]
