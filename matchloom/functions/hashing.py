@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Checksums read contents of up to LIMIT bytes whole, larger ones in three windows.
+# Checksums read contents of up to LIMIT bytes whole, larger ones in three windows.
 LIMIT = 12 * 1024 * 1024
 WINDOW = 4 * 1024 * 1024
 

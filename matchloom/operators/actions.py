@@ -27,17 +27,64 @@ def recoverable(members: DataFrame, keep: DataFrame) -> DataFrame:
     return to_delete(members, keep).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def _family(path: Column) -> Column:
+    """A path without the numbers that free names add: names that could ever clash share it."""
+    return F.concat_ws("/", parent(path), F.regexp_replace(base_name(path), r"(?:_\d+)+(?=\.[^.]*$|$)", ""))
+
+
+def _candidate(dst: Column, n: Column) -> Column:
+    name = base_name(dst)
+    return F.when(n == 0, dst).otherwise(F.concat_ws("/", parent(dst), F.concat(stem(name), F.lit("_"), n.cast("string"), suffix(dst))))
+
+
 def unique_targets(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """moves (src, dst) with free, different targets: dst, then stem_1, stem_2, ... beyond what `taken` (path) has of that name."""
-    name = base_name(F.col("dst"))
-    made = moves.withColumn("_i", F.row_number().over(W.partitionBy("dst").orderBy("src")) - 1)
-    key = lambda p: F.concat_ws("/", parent(p), F.concat(F.regexp_replace(stem(base_name(p)), r"_\d+$", ""), suffix(p)))
-    used = taken.select(key(F.col("path")).alias("_key"), F.col("path").alias("_p"))
-    number = F.coalesce(F.regexp_extract(stem(base_name(F.col("_p"))), r"_(\d+)$", 1).try_cast("long"), F.lit(0))
-    most = used.groupBy("_key").agg(F.max(number).alias("_most"))
-    out = made.withColumn("_key", key(F.col("dst"))).join(most, "_key", "left").withColumn("_n", F.col("_i") + F.coalesce(F.col("_most") + 1, F.lit(0)))
-    free = F.concat_ws("/", parent(F.col("dst")), F.concat(stem(name), F.lit("_"), F.col("_n").cast("string"), suffix(F.col("dst"))))
-    return out.select("src", F.when(F.col("_n") == 0, F.col("dst")).otherwise(free).alias("dst"))
+    """moves (src, dst) with free, different targets: in the order of src each takes the first of dst, stem_1, stem_2, ... that
+    neither `taken` (path) nor an earlier move has.
+
+    Names that may clash form families by folder and name without numbers. Where all moves of a family want one
+    target, the k-th move gets the k-th free number, counted beside the taken ones in one sort; families of several
+    targets, where the numbers of one may be names of another, are decided move by move, by one task each.
+    """
+    made = moves.select("src", "dst", _family(F.col("dst")).alias("_key"))
+    kinds = made.groupBy("_key").agg((F.min("dst") == F.max("dst")).alias("_plain"), F.min("dst").alias("_one"))
+    used = taken.select(F.col("path").alias("_p"), _family(F.col("path")).alias("_key")).distinct().join(kinds, "_key")
+    made = made.join(kinds.select("_key", "_plain"), "_key")
+
+    number = F.regexp_extract(F.col("_p"), r"_([1-9]\d{0,17})(?:\.[^.]*)?$", 1).try_cast("long")
+    at = F.when(F.col("_p") == F.col("_one"), F.lit(0).cast("long")).when(_candidate(F.col("_one"), number) == F.col("_p"), number)
+    full = used.filter("_plain").select("_key", at.alias("_t")).filter("_t is not null")
+    # the j-th taken number t (from 0) shifts all moves from the (t - j)-th on by one
+    shifts = full.withColumn("_k", F.col("_t") - (F.row_number().over(W.partitionBy("_key").orderBy("_t")) - 1)).select("_key", "_k", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1).alias("_up"))
+    plain = made.filter("_plain").withColumn("_k", (F.row_number().over(W.partitionBy("_key").orderBy("src")) - 1).cast("long"))
+    plain = plain.select("_key", "_k", F.col("src").cast("string").alias("src"), "dst", F.lit(0).alias("_up"))
+    both = shifts.unionByName(plain).withColumn("_n", F.col("_k") + F.sum("_up").over(W.partitionBy("_key").orderBy("_k", F.desc("_up")).rowsBetween(W.unboundedPreceding, 0)))
+    easy = both.filter("_up = 0").select("src", _candidate(F.col("dst"), F.col("_n")).alias("dst"))
+
+    turn = F.row_number().over(W.partitionBy("_key").orderBy("src")).alias("turn")
+    mixed = made.filter("not _plain").select("_key", turn, F.col("src").cast("string").alias("src"), "dst", F.lit(None).cast("string").alias("path"))
+    names = used.filter("not _plain").select("_key", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("_p").alias("path"))
+    hard = mixed.unionByName(names).groupBy("_key").applyInPandas(_one_by_one, "src string, dst string")
+    out = easy.unionByName(hard)
+    return out.withColumn("src", F.col("src").cast(moves.schema["src"].dataType))
+
+
+def _one_by_one(pdf):
+    import pandas as pd
+
+    taken = set(pdf["path"].dropna())
+    todo = pdf[pdf["dst"].notna()].sort_values("turn")
+    got, after = [], {}
+    for dst in todo["dst"]:
+        folder, name = os.path.split(dst)
+        dot = name.rfind(".")
+        root, ext = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
+        n, free = after.get(dst, 0), dst  # numbers below were taken before
+        while (free := dst if n == 0 else os.path.join(folder, f"{root}_{n}{ext}")) in taken:
+            n += 1
+        after[dst] = n + 1
+        taken.add(free)
+        got.append(free)
+    return pd.DataFrame({"src": list(todo["src"]), "dst": got}, dtype=object)
 
 
 def trash_plan(rows: DataFrame, root: Column) -> DataFrame:
@@ -77,18 +124,52 @@ def transform_plan(requests: DataFrame, keep: DataFrame, inventory: DataFrame, f
     return out.select(F.col("path").alias("src"), "dst", status.alias("status"))
 
 
+def confirm_plan(members: DataFrame, keep: DataFrame, requests: DataFrame, inventory: DataFrame, folders: DataFrame, root: Column) -> DataFrame:
+    """A whole decision as rows: phase, src, dst, status.
+
+    members (group_id, path), keep (path), requests (path, new_name, target_dir), inventory (path) and folders (dir)
+    of what is there. Phase 0 holds a row 'refused' for each group that would lose all its files, phase 1 the moves
+    to the trash with free names, phase 2 renames and moves of kept files, which may take names that phase 1 vacates.
+    carry_out() does nothing of a plan with refused rows.
+    """
+    refused = unguarded(members, keep).select(F.lit(0).alias("phase"), F.col("group_id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit("refused").alias("status"))
+    gone = to_delete(members.select("path").distinct(), keep)
+    plan = trash_plan(gone, root)
+    inside = plan.filter("status = 'ok'").select("src", "dst")
+    trash = unique_targets(inside, inventory).select(F.lit(1).alias("phase"), "src", "dst", F.lit("ok").alias("status"))
+    outside = plan.filter("status != 'ok'").select(F.lit(1).alias("phase"), "src", "dst", "status")
+    left = inventory.select("path").join(gone, "path", "left_anti")
+    change = transform_plan(requests, keep, left, folders, root).select(F.lit(2).alias("phase"), "src", "dst", "status")
+    return refused.unionByName(trash).unionByName(outside).unionByName(change)
+
+
 def carry_out(plan: DataFrame, dry_run: bool = True) -> dict[str, int]:
-    """Moves the rows with status ok, on the driver, one after the other as they stream in; counts by outcome."""
-    done = {"moved": 0, "skipped": 0, "errors": 0}
-    for row in plan.filter("status = 'ok'").orderBy("src").toLocalIterator():
-        if not os.path.isfile(row.src):
+    """Moves the rows with status ok, on the driver, phase by phase, one after the other as they stream in; counts by outcome.
+
+    Nothing is done if any row is refused. A dry run keeps account of the names it would vacate and take.
+    """
+    done = {"moved": 0, "skipped": 0, "errors": 0, "refused": plan.filter("status = 'refused'").count()}
+    if done["refused"]:
+        return done
+    phased = plan if "phase" in plan.columns else plan.withColumn("phase", F.lit(1))
+    vacated, filled = set(), set()
+    for row in phased.filter("status = 'ok'").orderBy("phase", "src").toLocalIterator():
+        there = (os.path.isfile(row.src) and row.src not in vacated) or row.src in filled
+        if not there:
             done["skipped"] += 1
+        elif (os.path.lexists(row.dst) and row.dst not in vacated) or row.dst in filled:
+            done["errors"] += 1
         elif dry_run:
+            vacated.add(row.src)
+            filled.discard(row.src)
+            vacated.discard(row.dst)
+            filled.add(row.dst)
             done["moved"] += 1
-        elif os.path.exists(row.dst):
-            done["errors"] += 1
         else:
-            os.makedirs(os.path.dirname(row.dst), exist_ok=True)
-            shutil.move(row.src, row.dst)
-            done["moved"] += 1
+            try:
+                os.makedirs(os.path.dirname(row.dst), exist_ok=True)
+                shutil.move(row.src, row.dst)
+                done["moved"] += 1
+            except OSError:
+                done["errors"] += 1
     return done
