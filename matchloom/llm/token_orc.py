@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,15 @@ def _encode(path: str | None, end_id: int):
     return run
 
 
+def _borders_below(key: Column, borders: list[int]) -> Column:
+    """The number of sorted borders at or below a key, found by halving in a literal array; 0 for a null key."""
+    if not borders:
+        return F.lit(0)
+    edges = F.array(*map(F.lit, borders))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, files: int | None = None) -> None:
     """Encode every whole text and write its ids, with end_id appended, as ORC in ascending id order.
 
@@ -59,16 +68,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     borders = slim.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("b")).first().b if n > 1 else []
     borders = sorted(set(borders or []))  # as many as there are files
-    # the number of borders at or below an id, found by halving
-
-    def place(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < F.lit(borders[mid]), place(low, mid)).otherwise(place(mid + 1, high))
-
-    key = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, len(borders)))
-    ranged = slim.repartitionById(len(borders) + 1, key.cast("int")).sortWithinPartitions("doc_id")
+    ranged = slim.repartitionById(len(borders) + 1, _borders_below(F.col("doc_id"), borders)).sortWithinPartitions("doc_id")
     (
         ranged.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
         .write.option("orc.compress", "ZSTD")
@@ -82,11 +82,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     )
 
 
-def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """The rows of write_tokens; with bounds, only stripes and row groups that may hold ids from first to last are read."""
+def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: list[int] | None = None) -> DataFrame:
+    """The rows of write_tokens; with bounds, only stripes and row groups that may hold ids from first to last are read.
+
+    ids: these documents alone; row groups are left out by their Bloom filters too.
+    """
     df = spark.read.schema(SCHEMA).orc(path)
     if first is not None:
         df = df.filter(F.col("doc_id") >= first)
+    if ids is not None:
+        df = df.filter(F.col("doc_id").isin(*ids))
     return df if last is None else df.filter(F.col("doc_id") <= last)
 
 

@@ -6,70 +6,85 @@ import os
 import re
 from array import array
 
-#: White space as the byte-level pattern has it.
+#: White space as the byte-level pattern has it, and letters and numbers of Latin, up to LAST.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Cuts a text only where the byte-level pattern cuts it too: before a blank and word, around runs of white space.
+_LETTERS, _NUMBERS, LAST = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\u024f"
+#: The byte-level pattern for texts of Latin alone; alternatives that no text can take both of are in order of use.
+_PIECE = re.compile(f" ?[{_LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[{_NUMBERS}]+| ?[^{_WS}{_LETTERS}{_NUMBERS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_OTHER = re.compile(f"[^\0-{LAST}]")
+#: Cuts any text only where the byte-level pattern cuts it too: before a blank and word, around runs of white space.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Chunks that a worker remembers: two generations of so many.
+#: Strings that a worker remembers: two generations of so many.
 CACHE = 400_000
 _encoders: dict[str | None, Encoder] = {}
 
 
-class Encoder(dict):
-    """Ids of whole texts as little-endian unsigned 32-bit integers; a chunk is encoded once as long as it is remembered.
+class _Remembered(dict):
+    """Ids of strings, made by `make` where they aren't remembered: the last CACHE ones or more, twice as many at most."""
 
-    The library's own cutting of a text costs several times its merging, so Latin chunks are cut here, by the
-    vocabulary's public pattern, and merged by the library; all others are left to the library as a whole.
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Encoder:
+    """Ids of whole texts as little-endian unsigned 32-bit integers; a piece is merged once as long as it is remembered.
+
+    The library's own cutting of a text costs several times its merging, so Latin texts are cut here, by the
+    vocabulary's public pattern, and merged by the library; all others are cut into chunks that are left to the
+    library as a whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.merge = self.whole.model.tokenize
         if hasattr(self.whole.model, "_resize_cache"):
-            self.whole.model._resize_cache(0)  # chunks are remembered here
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall if "ByteLevel" in str(self.whole.pre_tokenizer) else None
+            self.whole.model._resize_cache(0)  # pieces are remembered here
+        self.cuts = "ByteLevel" in str(self.whole.pre_tokenizer)
         # the printable stand-ins of bytes in a byte-level vocabulary
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.old: dict[str, bytes] = {}
+        self.blank = self.stand_in[32]
+        self.pieces = _Remembered(self._piece)
+        self.chunks = _Remembered(self.alone)
 
     def alone(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            if self.pieces is not None and chunk.isascii() and chunk.isprintable():
-                # the blank is the only one of these bytes with a stand-in; a blank and letters are one piece in any case
-                known = chunk.replace(" ", self.stand_in[32])
-                pieces = (known,) if known.isalpha() else [p.replace(" ", self.stand_in[32]) for p in self.pieces(chunk)]
-                found = array("I", [t.id for p in pieces for t in self.merge(p)]).tobytes()
-            elif self.pieces is not None and max(chunk) <= "\u024f":
-                found = array("I", [t.id for p in self.pieces(chunk) for t in self.merge(p.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
-            else:
-                found = self.alone(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            known = piece.replace(" ", self.blank)
+        else:
+            known = piece.encode().decode("latin-1").translate(self.stand_in)
+        return array("I", [t.id for t in self.merge(known)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+        out, piece, chunk = [], self.pieces.__getitem__, self.chunks.__getitem__
         for text in texts:
-            if text and any(s in text for s in self.special):  # these are looked for before a text is cut
+            if not text:
+                out.append(b"")
+            elif any(s in text for s in self.special):  # these are looked for before a text is cut
                 out.append(self.alone(text))
+            elif self.cuts and not _OTHER.search(text):
+                out.append(b"".join(map(piece, _PIECE.findall(text))))
             else:
-                out.append(b"".join(map(self.__getitem__, _CHUNK.findall(text or ""))))
+                out.append(b"".join(map(chunk, _CHUNK.findall(text))))
         return out
 
 
