@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -13,19 +12,20 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import arrow_limits, partitions, staged, table
 
-#: The head of the softmax: CLUSTERS * CLUSTERS branches. The KNOWN commonest words have one each, the TAIL others hold all further classes.
+#: The network predicts one of CLUSTERS * CLUSTERS branches. The KNOWN commonest words are one each, the TAIL others hold all further words by hash.
 CLUSTERS = 32
-CLASSES = CLUSTERS * CLUSTERS
+BRANCHES = CLUSTERS * CLUSTERS
 KNOWN = 768
-TAIL = CLASSES - KNOWN
-#: Words with a class of their own: GROWTH * square root of the number of different words, KNOWN at least.
+TAIL = BRANCHES - KNOWN
+#: Words that the network sees as themselves, each with vectors of its own: GROWTH * square root of the number of different words, KNOWN at least.
 GROWTH = 4.5
-#: Added to every count within a shared class. As many words as it is known to hold are taken to be unseen.
+#: Added to every count within a branch. As many words as it is known to hold are taken to be unseen.
 SMOOTH = 0.5
-#: Counts that tasks hold at once: so many times the words with classes of their own. Rarer words meet theirs in a join.
+#: Counts that tasks hold at once: so many times the words with vectors of their own. Rarer words meet theirs in a join.
 HELD = 16
 #: Words on either side that the network sees.
 SIDE = 2
+PLACES = 2 * SIDE
 WIDTH = 16
 MINIBATCH = 8192
 RATE = 0.1
@@ -34,65 +34,85 @@ SEED = 11
 BLOCK = 8192
 #: Partitions of the first averaging step, by salt: at most so many sums meet in the second.
 SALTS = 16
+#: Words without an entry that a worker remembers.
+REMEMBERED = 300_000
 
 
 def _own(known: int) -> int:
-    """The first class that words share: known, in whole layers of the tail's branches."""
+    """Vectors of known words, in whole multiples of TAIL."""
     return KNOWN + TAIL * max(0, -(-(known - KNOWN) // TAIL))
 
 
 def _shared(known: int) -> int:
+    """Vectors that all other words share by hash: a multiple of TAIL."""
     return TAIL * max(1, round(_own(known) / 3 / TAIL))
 
 
 def classes_of(known: list[str]) -> int:
+    """Vectors a place, but for the one outside the text."""
     return _own(len(known)) + _shared(len(known))
 
 
-class _Ids(dict):
-    """Class of a word; remembers up to 300,000 of them."""
+def branch_of(word: bytes, rank: int | None) -> int:
+    """What the network predicts for a word: itself, for the KNOWN commonest, or a branch by hash."""
+    return rank if rank is not None and rank < KNOWN else KNOWN + zlib.crc32(word) % TAIL
 
-    def __init__(self, known: list[str]):
+
+class Words(dict):
+    """Entry number of a word (UTF-8), and by entry its vector's number, its branch and log p(word | branch).
+
+    Entries are the known words, then words whose counts are held, then one for each shared vector. Where the count
+    isn't held, as for the latter, the term is NaN. known: words, commonest first. held: further (word, count).
+    totals: of smoothed counts by tail branch; None leaves all terms 0.
+    """
+
+    def __init__(self, known: list[str], held: list[tuple[str, int]] = (), totals: np.ndarray | None = None):
         super().__init__()
-        self.own, self.shared = _own(len(known)), _shared(len(known))
-        self.known = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(known)}
+        own, self.shared = _own(len(known)), _shared(len(known))
+        rank = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(known)}
+        count = {w.encode("utf-8", "surrogatepass"): n for w, n in held}
+        entries = [*rank, *(w for w in count if w not in rank)]
+        crc = np.array([zlib.crc32(w) for w in entries], np.int64)
+        at = np.arange(len(entries))
+        slots = np.arange(self.shared)
+        self.fixed = {w: k for k, w in enumerate(entries)}
+        self.vector = np.concatenate([np.where(at < len(rank), at, own + crc % self.shared), own + slots]).astype(np.int32)
+        self.branch = np.concatenate([np.where(at < min(len(rank), KNOWN), at, KNOWN + crc % TAIL), KNOWN + slots % TAIL]).astype(np.int16)
+        self.term = np.zeros(len(self.vector))
+        if totals is not None:
+            n = np.array([count.get(w, np.nan) for w in entries], float)
+            self.term = np.concatenate([np.where(at < KNOWN, 0.0, np.log((n + SMOOTH) / totals[crc % TAIL])), np.full(self.shared, np.nan)])
+        self.temporary = 0
+        self.update(self.fixed)
 
     def __missing__(self, word: bytes) -> int:
-        k = self.known.get(word)
-        if k is None:
-            k = self.own + zlib.crc32(word) % self.shared
-        if len(self) >= 300_000:
+        k = len(self.fixed) + zlib.crc32(word) % self.shared
+        if self.temporary >= REMEMBERED:
             self.clear()
+            self.update(self.fixed)
+            self.temporary = 0
         if len(word) <= 64:
             self[word] = k
+            self.temporary += 1
         return k
 
 
 @dataclass
 class Network:
-    """embed: a table for each place around the word; hidden layer tanh(sum); softmax over clusters, then over the branches of one.
+    """embed: a table for each place around the word; hidden layer tanh(sum); softmax over clusters, then over the branches of one."""
 
-    Branch KNOWN + t holds the classes KNOWN + t + TAIL * j; where there are more than CLASSES, a third softmax chooses j.
-    """
-
-    embed: np.ndarray  # places * (classes + 1), WIDTH; class `classes`: outside the text
+    embed: np.ndarray  # places, vectors + 1, WIDTH; the last vector: outside the text
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    w3: np.ndarray
-    b3: np.ndarray
 
     @staticmethod
-    def shapes(classes: int = CLASSES) -> list[tuple[int, ...]]:
-        layers = (classes - KNOWN) // TAIL if classes > CLASSES else 0
-        return [
-            (2 * SIDE * (classes + 1), WIDTH), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, CLUSTERS), (CLUSTERS, CLUSTERS),
-            (TAIL, WIDTH, layers), (TAIL, layers),
-        ]
+    def shapes(classes: int) -> list[tuple[int, ...]]:
+        return [(PLACES, classes + 1, WIDTH), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, CLUSTERS), (CLUSTERS, CLUSTERS)]
 
     @classmethod
-    def of(cls, flat: np.ndarray, classes: int = CLASSES) -> Network:
+    def of(cls, flat: np.ndarray, classes: int = BRANCHES) -> Network:
         parts, at = [], 0
         for shape in cls.shapes(classes):
             n = int(np.prod(shape))
@@ -101,89 +121,80 @@ class Network:
         return cls(*parts)
 
     @classmethod
-    def start(cls, classes: int = CLASSES) -> np.ndarray:
+    def start(cls, classes: int = BRANCHES) -> np.ndarray:
         n = sum(int(np.prod(s)) for s in cls.shapes(classes))
         return (np.random.default_rng(SEED).standard_normal(n) * 0.1).astype(np.float32)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[context[:, 0]]
-        for place in range(1, 2 * SIDE):
-            h += self.embed[context[:, place]]
+        h = self.embed[0].take(context[0], axis=0)
+        for place in range(1, PLACES):
+            h += self.embed[place].take(context[place], axis=0)
         return np.tanh(h, out=h)
 
-    def levels(self, target: np.ndarray):
-        """Below the clusters: weights, biases, their gradients' places, and (node, rows of target, branches taken) by node."""
-        branch, deep = target, []
-        if self.b3.size:
-            layer, t = np.divmod(target - KNOWN, TAIL)
-            tail = np.flatnonzero(target >= KNOWN)
-            branch = np.where(target < KNOWN, target, KNOWN + t)
-            deep = [(self.w3, self.b3, _by_node(t[tail], tail, layer[tail], TAIL))]
-        k, j = np.divmod(branch, CLUSTERS)
-        return k, [(self.w2, self.b2, _by_node(k, np.arange(len(k)), j, CLUSTERS)), *deep]
-
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log p(branch | context) for each column of context."""
         h = self.hidden(context)
-        k, levels = self.levels(target)
+        c, j = np.divmod(target, CLUSTERS)
         z = h @ self.w1 + self.b1
-        out = z[np.arange(len(target)), k] - _log_sum(z)
-        for w, b, nodes in levels:
-            for c, at, j in nodes:
-                z = h[at] @ w[c] + b[c]
-                out[at] += z[np.arange(len(at)), j] - _log_sum(z)
+        out = z[np.arange(len(target)), c] - _log_sum(z)
+        for k, at in _by_cluster(c):
+            z = h.take(at, axis=0) @ self.w2[k] + self.b2[k]
+            out[at] += z[np.arange(len(at)), j[at]] - _log_sum(z)
         return out
 
-    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Of the mean negative log-probability: the rows of embed that occur, and theirs and the other parts' gradients."""
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """Of the mean negative log-probability: by place the vectors that occur and theirs, and the other parts' gradients."""
         n = len(target)
         h = self.hidden(context)
-        k, levels = self.levels(target)
+        c, j = np.divmod(target, CLUSTERS)
         p = _softmax(h @ self.w1 + self.b1)
-        p[np.arange(n), k] -= 1
+        p[np.arange(n), c] -= 1
         dh = p @ self.w1.T
-        parts = [h.T @ p, p.sum(axis=0)]
-        for w, b, nodes in levels:
-            dw, db = np.zeros_like(w), np.zeros_like(b)
-            for c, at, j in nodes:
-                own = h[at]
-                q = _softmax(own @ w[c] + b[c])
-                q[np.arange(len(at)), j] -= 1
-                dw[c], db[c] = own.T @ q, q.sum(axis=0)
-                dh[at] += q @ w[c].T
-            parts += [dw, db]
-        if len(parts) == 4:
-            parts += [np.zeros_like(self.w3), np.zeros_like(self.b3)]
+        parts = [h.T @ p / n, p.sum(axis=0) / n]
+        dw, db = np.zeros_like(self.w2), np.zeros_like(self.b2)
+        for k, at in _by_cluster(c):
+            own = h.take(at, axis=0)
+            q = _softmax(own @ self.w2[k] + self.b2[k])
+            q[np.arange(len(at)), j[at]] -= 1
+            dw[k], db[k] = own.T @ q / n, q.sum(axis=0) / n
+            dh[at] += q @ self.w2[k].T
         dh *= 1 - h * h
-        flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        inside = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-        de = np.add.reduceat(dh[order // (2 * SIDE)], first, axis=0)
-        return inside[first], [x / n for x in (de, *parts)]
+        dh /= n
+        short = np.uint16 if self.embed.shape[1] <= 1 << 16 else np.int32  # short numbers are sorted by digits
+        tables = []
+        for place in range(PLACES):
+            order = np.argsort(context[place].astype(short), kind="stable")
+            inside = context[place][order]
+            first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+            tables.append((inside[first], np.add.reduceat(dh.take(order, axis=0), first, axis=0)))
+        return tables, [*parts, dw, db]
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """gradients(), flat."""
-        rows, (de, *parts) = self.gradients(context, target)
+        tables, parts = self.gradients(context, target)
         whole = np.zeros(self.embed.shape)
-        whole[rows] = de
+        for place, (rows, de) in enumerate(tables):
+            whole[place, rows] = de
         return np.concatenate([x.ravel() for x in (whole, *parts)]).astype(np.float32)
 
     def step(self, squares: Network, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """Adagrad, in place."""
-        rows, (de, *parts) = self.gradients(context, target)
-        squares.embed[rows] += de * de
-        self.embed[rows] -= rate * de / np.sqrt(squares.embed[rows])
-        for name, g in zip(("w1", "b1", "w2", "b2", "w3", "b3"), parts, strict=True):
+        tables, parts = self.gradients(context, target)
+        for place, (rows, de) in enumerate(tables):
+            sums = squares.embed[place].take(rows, axis=0) + de * de
+            squares.embed[place][rows] = sums
+            self.embed[place][rows] -= rate * de / np.sqrt(sums)
+        for name, g in zip(("w1", "b1", "w2", "b2"), parts, strict=True):
             sums, own = getattr(squares, name), getattr(self, name)
             sums += g * g
             own -= rate * g / np.sqrt(sums)
 
 
-def _by_node(node: np.ndarray, at: np.ndarray, branch: np.ndarray, nodes: int):
-    order = np.argsort(node.astype(np.int16), kind="stable")
-    ends = np.searchsorted(node[order], np.arange(nodes + 1))
-    at, branch = at[order], branch[order]
-    return [(c, at[a:b], branch[a:b]) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
+def _by_cluster(cluster: np.ndarray):
+    """(cluster, places of it) for all that occur."""
+    order = np.argsort(cluster.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
+    return [(k, order[a:b]) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
 
 
 #: Logits stop here, far beyond what a hidden layer of tanh gives, so that exp() stays finite without a search for the largest.
@@ -191,7 +202,8 @@ _MOST = 60
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    return np.log(np.exp(np.minimum(z, _MOST)) @ np.ones(z.shape[1], z.dtype))
+    e = np.minimum(z, _MOST)
+    return np.log(np.exp(e, out=e) @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -200,20 +212,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e
 
 
-def windows(docs: list[list[int]], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (rows of the embedding tables), targets and document numbers of all words of some documents."""
-    pad = [classes] * SIDE
-    flat = np.fromiter(chain.from_iterable(chain(pad, d, pad) for d in docs), np.int32)
+def entries(docs: list[list[bytes]], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Entry numbers of all words of some documents, one after the other, and how many each has."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    at = np.arange(int(sizes.sum())) + owner * 2 * SIDE + SIDE
-    places = [k for k in range(-SIDE, SIDE + 1) if k]
-    context = np.stack([flat[at + p] + i * (classes + 1) for i, p in enumerate(places)], axis=1)
-    return context, flat[at], owner
+    return np.fromiter(map(words.__getitem__, chain.from_iterable(docs)), np.int32, int(sizes.sum())), sizes
 
 
-def _texts(batch, column: int, ids: _Ids) -> list[list[int]]:
-    return [list(map(ids.__getitem__, _split(t or ""))) for t in batch.column(column).to_pylist()]
+def windows(vectors: np.ndarray, sizes: np.ndarray, classes: int) -> np.ndarray:
+    """Contexts (by place the vector's number) of all words of some documents; `classes` is what is outside the text."""
+    padded = np.full(len(vectors) + PLACES * len(sizes), classes, np.int32)
+    at = np.arange(len(vectors)) + np.repeat(np.arange(len(sizes)), sizes) * PLACES + SIDE
+    padded[at] = vectors
+    return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k])
 
 
 def _split(text: str) -> list[bytes]:
@@ -227,7 +237,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def commonest(counts: DataFrame, share: int = 1) -> list[tuple[str, int]]:
-    """The commonest words, by count and then by code point: `share` times as many as have classes of their own.
+    """The commonest words, by count and then by code point: `share` times as many as have vectors of their own.
 
     With a share above 1, words of the last count that would fit in part only are left out. The driver gets a
     histogram of the counts first, then these words alone, not so many of every partition.
@@ -246,18 +256,19 @@ def commonest(counts: DataFrame, share: int = 1) -> list[tuple[str, int]]:
 
 
 def known_words(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The words with classes of their own, commonest first; their number grows with that of the different words."""
+    """The words with vectors of their own, commonest first; their number grows with that of the different words."""
     return [w for w, _ in commonest(word_counts(docs, text_col))]
 
 
 def _train(known: list[str], start: np.ndarray, rate: float):
     def run(batches):
         flat, classes = start.copy(), classes_of(known)
-        net, squares, seen, ids = Network.of(flat, classes), Network.of(np.full(len(flat), 1e-6, np.float32), classes), 0, _Ids(known)
+        net, squares, seen, words = Network.of(flat, classes), Network.of(np.full(len(flat), 1e-6, np.float32), classes), 0, Words(known)
         for batch in batches:
-            context, target, _ = windows(_texts(batch, 0, ids), classes)
+            found, sizes = entries([_split(t or "") for t in batch.column(0).to_pylist()], words)
+            context, target = windows(words.vector[found], sizes, classes), words.branch[found]
             for at in range(0, len(target), MINIBATCH):
-                net.step(squares, context[at : at + MINIBATCH], target[at : at + MINIBATCH], rate)
+                net.step(squares, np.ascontiguousarray(context[:, at : at + MINIBATCH]), target[at : at + MINIBATCH], rate)
             seen += len(target)
         if seen:
             yield _blocks(flat * np.float32(seen), seen)
@@ -317,57 +328,43 @@ def train(docs: DataFrame, known: list[str], text_col: str = "text", rounds: int
     return flat
 
 
-class _Within(dict):
-    """log p(word | its class) of the words whose counts a task holds: 0.0 where the class is the word's own; others get NaN."""
-
-    def __init__(self, words: list[tuple[str, int]], known: list[str], totals: np.ndarray):
-        super().__init__()
-        for word, n in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            self[raw] = math.log((n + SMOOTH) / totals[zlib.crc32(raw) % len(totals)])
-        self.update((w.encode("utf-8", "surrogatepass"), 0.0) for w in known)
-
-    def __missing__(self, word: bytes) -> float:
-        return math.nan
-
-
-def class_totals(counts: DataFrame, known: list[str]) -> np.ndarray:
-    """What smoothed counts within each shared class add up to: those of its words, and as many unseen ones (one at least)."""
-    words = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in known], "word string")), "word", "left_anti")
-    by_class = words.groupBy((F.crc32(F.col("word").cast("binary")) % _shared(len(known))).cast("int").alias("k")).agg(F.count("*").alias("words"), F.sum("count").alias("tokens"))
-    totals = np.full(_shared(len(known)), SMOOTH)
-    for r in by_class.collect():
+def branch_totals(counts: DataFrame, known: list[str]) -> np.ndarray:
+    """What smoothed counts add up to within each tail branch: those of its words, and as many unseen ones (one at least)."""
+    spark = counts.sparkSession
+    single = spark.createDataFrame([(w,) for w in known[:KNOWN]], "word string")
+    words = counts.join(F.broadcast(single), "word", "left_anti")  # KNOWN words at most
+    by_branch = words.groupBy((F.crc32(F.col("word").cast("binary")) % TAIL).cast("int").alias("k")).agg(F.count("*").alias("words"), F.sum("count").alias("tokens"))
+    totals = np.full(TAIL, SMOOTH)
+    for r in by_branch.collect():
         totals[r.k] = r.tokens + SMOOTH * 2 * r.words
     return totals
 
 
-def _score(known: list[str], flat: np.ndarray, within: tuple[list[tuple[str, int]], np.ndarray] | None):
+def _score(known: list[str], flat: np.ndarray, held: list[tuple[str, int]], totals: np.ndarray | None):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        classes = classes_of(known)
-        net, ids = Network.of(flat, classes), _Ids(known)
-        terms = _Within(within[0], known, within[1]) if within else None
+        classes, words = classes_of(known), Words(known, held, totals)
+        net = Network.of(flat, classes)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            words = [_split(t or "") for t in batch.column(1).to_pylist()]
-            docs = [list(map(ids.__getitem__, d)) for d in words]
-            context, target, owner = windows(docs, classes)
+            docs = [_split(t or "") for t in batch.column(1).to_pylist()]
+            found, sizes = entries(docs, words)
+            context, target = windows(words.vector[found], sizes, classes), words.branch[found]
+            owner = np.repeat(np.arange(len(docs)), sizes)
+            term = words.term[found]
             out, rare = np.zeros(len(docs)), [[] for _ in docs]
-            for at in range(0, len(target), 8 * MINIBATCH):
-                part = slice(at, at + 8 * MINIBATCH)
-                out += np.bincount(owner[part], net.log_probs(context[part], target[part]), len(docs))
-            if terms is not None:
-                more = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.float64, len(target))
-                out += np.bincount(owner, np.nan_to_num(more), len(docs))
-                starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-                for at in np.flatnonzero(np.isnan(more)).tolist():
-                    k = owner[at]
-                    rare[k].append(words[k][at - starts[k]])
-            n = np.array([len(d) for d in docs], np.int64)
+            out += np.bincount(owner, np.nan_to_num(term), len(docs))
+            for at in range(0, len(target), MINIBATCH):
+                part = slice(at, at + MINIBATCH)
+                out += np.bincount(owner[part], net.log_probs(context[:, part], target[part]), len(docs))
+            starts = np.cumsum(sizes) - sizes
+            for at in np.flatnonzero(np.isnan(term)).tolist():
+                k = owner[at]
+                rare[k].append(docs[k][at - starts[k]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(docs))), batch.column(0), pa.array(n), pa.array(out), pa.array(rare, pa.list_(pa.binary()))],
+                [pa.array(np.arange(row, row + len(docs))), batch.column(0), pa.array(sizes), pa.array(out), pa.array(rare, pa.list_(pa.binary()))],
                 ["row", "doc_id", "n_words", "log_prob", "rare"],
             )
             row += len(docs)
@@ -378,24 +375,24 @@ def _score(known: list[str], flat: np.ndarray, within: tuple[list[tuple[str, int
 def score_texts(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """id_col, n_words, log_prob (sum over all words of log p(word | words on both sides)), score (by word).
 
-    p(word | context) = p(class | context) * p(word | class), the latter from the smoothed counts of word_counts();
-    without counts, log_prob sums log p(class | context) alone. A word that isn't counted gets the share of one unseen
-    word of its class.
+    p(word | context) = p(branch | context) * p(word | branch), the latter from the smoothed counts of word_counts();
+    without counts, log_prob sums log p(branch | context) alone. A word that isn't counted gets the share of one
+    unseen word of its branch.
     Null texts and texts without words get 0 and 0.0. Ids may be null or repeated, other columns are ignored,
-    an empty table gives an empty result. Words that aren't among the commonest share classes by hash.
+    an empty table gives an empty result.
     """
     arrow_limits(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "row long, doc_id long, n_words long, log_prob double, rare array<binary>"
     if counts is None:
-        out = slim.mapInArrow(_score(known, flat, None), schema)
+        out = slim.mapInArrow(_score(known, flat, [], None), schema)
     else:
-        held, totals = commonest(counts, HELD), class_totals(counts, known)
-        rows = staged(slim.mapInArrow(_score(known, flat, (held, totals)), schema), "scores")
+        held, totals = commonest(counts, HELD), branch_totals(counts, known)
+        rows = staged(slim.mapInArrow(_score(known, flat, held, totals), schema), "scores")
         words = counts.select(F.col("word").cast("binary").alias("word"), "count").hint("shuffle_hash")
-        by_class = docs.sparkSession.createDataFrame([(k, float(t)) for k, t in enumerate(totals)], "k int, total double")
+        by_branch = docs.sparkSession.createDataFrame([(k, float(t)) for k, t in enumerate(totals)], "k int, total double")
         rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
-        rare = rare.select("row", "count", (F.crc32("word") % len(totals)).cast("int").alias("k")).join(F.broadcast(by_class), "k")
+        rare = rare.select("row", "count", (F.crc32("word") % TAIL).cast("int").alias("k")).join(F.broadcast(by_branch), "k")  # TAIL rows
         terms = rare.groupBy("row").agg(F.sum(F.log((F.coalesce("count", F.lit(0)) + SMOOTH) / F.col("total"))).alias("rest"))
         out = rows.drop("rare").join(terms, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0)))
     return out.select(F.col("doc_id").alias(id_col), "n_words", "log_prob", (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("score"))
