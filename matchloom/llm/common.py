@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.operators.materialize import delete_path, shared_dir
+
 #: The characters of [\x20\x09-\x0D], which separate words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -22,17 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that driver and executors share."""
     return f"{shared_dir(spark)}/matchloom/{uuid.uuid4().hex}/{name}"
 
 
@@ -40,7 +32,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes the files of a staged table that no result reads any more."""
+    delete_path(df.sparkSession, df._staged_at.rsplit("/", 1)[0])
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all staged tables in the shared folder; for when no result of this subpackage is read any more."""
+    delete_path(spark, f"{shared_dir(spark)}/matchloom")
 
 
 def arrow_limits(spark: SparkSession) -> None:
