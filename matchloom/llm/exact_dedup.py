@@ -26,8 +26,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; the row with the
     most code points in the original text stays, then the smallest id. Null texts count as empty, empty
-    texts are equal to each other. A null id sorts after all others, a repeated row (same id and text)
-    counts in group_size and is kept with its twin. Other columns of docs are ignored, so clashing names
+    texts are equal to each other. A null id sorts after all others; where a row without one stays, keep_id is null
+    and exactly one such row is kept. A repeated row (same id and text) counts in group_size and is kept with its
+    twin. Other columns of docs are ignored, so clashing names
     do no harm. An empty table gives an empty result.
 
     Returns id_col, keep_id, group_size, kept, text_sha256 (lowercase hex of the normalised text).
@@ -61,23 +62,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "winners",
     ).withColumn("keep_id", _id_in(F.col("best")))
-    ids = staged(rows.select("doc_id", "digest"), "ids")
+    unnamed = F.when(F.col("doc_id").isNull(), F.struct("n", F.monotonically_increasing_id().alias("row")))
+    ids = staged(rows.select("doc_id", "digest", unnamed.alias("unnamed")), "ids")
     total = ids.count()
     plain = winners.filter("texts = 1").select("digest", "keep_id", "group_size")
     clash = winners.filter("texts > 1").select("digest")
     out = join_skewed(ids, plain, ["digest"], "group_size", total)
     if clash.limit(1).count():
-        apart = staged(rows.join(clash, "digest", "left_semi").select("doc_id", "digest", "norm", order.alias("best")), "apart")
+        numbered = rows.withColumn("unnamed", unnamed)
+        apart = staged(numbered.join(clash, "digest", "left_semi").select("doc_id", "digest", "norm", "unnamed", order.alias("best")), "apart")
         best = apart.groupBy("digest", "norm").agg(F.max("best").alias("best"), F.count("*").alias("group_size"))
         best = best.withColumn("keep_id", _id_in(F.col("best")))
         out = out.filter(F.col("group_size").isNotNull()).unionByName(
             apart.drop("best").join(best.drop("best"), ["digest", "norm"]).select(*out.columns)
         )
+    kept = F.col("doc_id") == F.col("keep_id")
+    lone = ids.filter(F.col("unnamed").isNotNull())
+    if lone.limit(1).count():
+        first = staged(lone.groupBy("digest").agg(F.max("unnamed").alias("first"), F.count("*").alias("w")), "first")
+        named = out.filter(F.col("unnamed").isNull()).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+        out = named.unionByName(join_skewed(out.filter(F.col("unnamed").isNotNull()), first, ["digest"], "w", total).select(*named.columns))
+        kept = kept | (F.col("keep_id").isNull() & (F.col("unnamed") == F.col("first")))
     return out.select(
         F.col("doc_id").alias(id_col),
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.coalesce(kept, F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -86,24 +96,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each group of equal texts, all columns as they came.
 
     The row that stays is that of exact_groups(). Ids are taken to be unique but for repeated rows: of rows
-    with the id that stays, the one with the longest text stays (of equal ones any, they are the same).
+    with the id that stays, the one with the longest text stays (of equal ones any, they are the same). Rows without
+    an id stay where the longest text of their group has none, one of them by group.
     The ids that go are broadcast if few (counted), else shuffled against docs.
     """
     groups = staged(exact_groups(docs, id_col, text_col), "groups")
-    stay = groups.filter("kept")
-    go = groups.filter("not kept").select(id_col).distinct().join(stay.select(id_col), id_col, "left_anti")
-    rest = docs.join(small(go), id_col, "left_anti")
-    twice = stay.groupBy(id_col).count().filter("count > 1").select(id_col)
-    if not twice.limit(1).count():
-        return rest
+    named = docs.filter(F.col(id_col).isNotNull())
+    stay = groups.filter(F.col("kept") & F.col(id_col).isNotNull())
+    go = groups.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct().join(stay.select(id_col), id_col, "left_anti")
+    out = named.join(small(go), id_col, "left_anti").select(*docs.columns)
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    one = (
-        rest.join(small(twice), id_col, "left_semi")
-        .groupBy(id_col)
-        .agg(F.max_by(whole, F.char_length(F.coalesce(F.col(text_col), F.lit("")))).alias("r"))
-        .select("r.*")
-    )
-    return rest.join(small(twice), id_col, "left_anti").unionByName(one)
+    length = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    twice = stay.groupBy(id_col).count().filter("count > 1").select(id_col)
+    if twice.limit(1).count():
+        one = out.join(small(twice), id_col, "left_semi").groupBy(id_col).agg(F.max_by(whole, length).alias("r")).select("r.*")
+        out = out.join(small(twice), id_col, "left_anti").select(*docs.columns).unionByName(one)
+    lone = groups.filter(F.col("kept") & F.col(id_col).isNull()).select(F.col("text_sha256").alias("_sha"))
+    if lone.limit(1).count():
+        norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, "")
+        rows = docs.filter(F.col(id_col).isNull()).select(whole.alias("_r"), norm.alias("_norm"), length.alias("_n"), F.sha2(norm, 256).alias("_sha"))
+        one = rows.join(small(lone), "_sha", "left_semi").groupBy("_sha", "_norm").agg(F.max_by("_r", "_n").alias("r")).select("r.*")
+        out = out.unionByName(one)
+    return out
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
