@@ -181,20 +181,33 @@ def repeat_rows(
     """docs with every row as often as mix() says, all columns as they came.
 
     Texts aren't shuffled: a row's copies follow from its own key and its source's figures. Only for the rows
-    in the bins where sources reach their targets, about one in `bins`, are the ids that are taken looked up.
+    in the bins where sources reach their targets, about one in `bins`, is it looked up which are taken. Of rows with
+    equal id, source and size as many get a copy more as in mix(). Null texts and sources as there; an empty table
+    gives an empty result.
     """
     base, plan, edges = _prepare(docs, id_col, text_col, source_col, weights, share, most, None, seed, bins)
-    taken = staged(_edge_rows(_placed(base, plan, edges, seed, bins)).filter("_more = 1").select(F.col("doc_id").alias("_t")).distinct(), "taken")
+    keys = ["doc_id", "source", "size"]
+    at_edge = _edge_rows(_placed(base, plan, edges, seed, bins)).groupBy(*keys).agg(F.sum("_more").alias("_t"), F.count("*").alias("_c"))
+    taken = staged(at_edge.select(*[F.col(c).alias(f"_{c}") for c in keys], "_t", "_c"), "taken")
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
     )
-    placed = _placed(rows, plan, edges, seed, bins).join(small(taken, 10 * BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_t")), "left")
-    more = F.when(_at_edge(), F.col("_t").isNotNull()).otherwise(_below_edge()).cast("int")
-    copies = F.col("_whole").cast("int") + more
-    return placed.select(F.explode(F.array_repeat("_row", copies)).alias("_row")).select("_row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & F.col("size").eqNullSafe(F.col("_size"))
+    placed = _placed(rows, plan, edges, seed, bins).join(small(taken, 10 * BROADCAST_ROWS), same, "left")
+    copies = lambda more: F.col("_whole").cast("int") + more.cast("int")
+    spread = lambda df, more: df.select(F.explode(F.array_repeat("_row", copies(more))).alias("_row")).select("_row.*")
+    every = F.when(_at_edge(), F.col("_t") == F.col("_c")).otherwise(_below_edge())
+    some = taken.filter("_t > 0 and _t < _c")
+    if not some.limit(1).count():
+        return spread(placed, every)
+    # rows that can't be told apart by id, source and size, of which some are taken: they are counted off
+    part = _at_edge() & (F.col("_t") > 0) & (F.col("_t") < F.col("_c"))
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("_row")))
+    counted = placed.filter(part).withColumn("_turn", turn)
+    return spread(placed.filter(~F.coalesce(part, F.lit(False))), every).unionByName(spread(counted, F.col("_turn") <= F.col("_t")))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
