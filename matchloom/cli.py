@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.functions.paths import IMAGE_SUFFIXES, MEDIA_SUFFIXES, TRASH, VIDEO_SUFFIXES
+from matchloom.functions.paths import IMAGE_SUFFIXES, MEDIA_SUFFIXES, TRASH, VIDEO_SUFFIXES, shown
 from matchloom.functions.sizes import parse_size, size_text
 from matchloom.operators import actions, cluster, interactive, report, verify
 from matchloom.operators.materialize import cut
@@ -169,7 +169,7 @@ def main(argv=None) -> int:
             return 0
         rest = trash_report(spark, a.folder, a.threshold, a.cache)
         lost = 0
-        for r in rest.orderBy("path").toLocalIterator():
+        for r in rest.orderBy("path").withColumn("path", shown(F.col("path"), os.name == "nt")).toLocalIterator():
             print(f"{r.status}\t{r.kind}\t{r.path}")
             lost += 1
         print(f"without a match: {lost}" if lost else "all matched")
@@ -181,7 +181,7 @@ def main(argv=None) -> int:
         plan = cut(choices_plan(groups, spark.read.option("header", True).csv(a.choices), a))
         for r in plan.orderBy("phase", "src").toLocalIterator():
             print(f"{'trash' if r.phase == 1 else 'rename'}\t{r.src}\t{r.dst}")
-        _said("done" if a.apply else "would do", actions.carry_out(plan, dry_run=not a.apply))
+        _said("done" if a.apply else "would do", actions.carry_out(plan, not a.apply, a.folder))
     elif a.review:
         order = report.review_order(groups).select("group_id", "place")
         both = report.groups_json(groups, F.lit(a.folder), a.ignore, F.lit(a.folder)).join(order, "group_id").orderBy("place")

@@ -143,10 +143,16 @@ def confirm_plan(members: DataFrame, keep: DataFrame, requests: DataFrame, inven
     return refused.unionByName(trash).unionByName(outside).unionByName(change)
 
 
-def carry_out(plan: DataFrame, dry_run: bool = True) -> dict[str, int]:
+def _inside(path: str, root: str) -> bool:
+    """Is a file, or the place for one, below root once links are followed?"""
+    return os.path.realpath(os.path.dirname(path)).startswith(os.path.join(os.path.realpath(root), "")) or os.path.realpath(os.path.dirname(path)) == os.path.realpath(root)
+
+
+def carry_out(plan: DataFrame, dry_run: bool = True, root: str | None = None) -> dict[str, int]:
     """Moves the rows with status ok, on the driver, phase by phase, one after the other as they stream in; counts by outcome.
 
-    Nothing is done if any row is refused. A dry run keeps account of the names it would vacate and take.
+    Nothing is done if any row is refused. root: what lies outside of it, once links are followed, is an error and
+    stays. A dry run keeps account of the names it would vacate and take.
     """
     done = {"moved": 0, "skipped": 0, "errors": 0, "refused": plan.filter("status = 'refused'").count()}
     if done["refused"]:
@@ -157,6 +163,8 @@ def carry_out(plan: DataFrame, dry_run: bool = True) -> dict[str, int]:
         there = (os.path.isfile(row.src) and row.src not in vacated) or row.src in filled
         if not there:
             done["skipped"] += 1
+        elif root is not None and not (_inside(row.src, root) and _inside(row.dst, root)):
+            done["errors"] += 1
         elif (os.path.lexists(row.dst) and row.dst not in vacated) or row.dst in filled:
             done["errors"] += 1
         elif dry_run:

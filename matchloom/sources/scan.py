@@ -1,8 +1,9 @@
-"""File inventory as a Python data source: one partition for each folder under the root."""
+"""File inventory as a Python data source: folders are split, level by level, into enough partitions."""
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +20,30 @@ class _Folder(InputPartition):
         self.path, self.deep = path, deep
 
 
+#: Folders are opened on the driver, level by level, until there are so many partitions.
+PARTS = 256
+
+
+def _children(folder: str) -> list[str]:
+    try:
+        with os.scandir(folder) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name not in (TRASH, DATABASES))
+    except OSError:
+        return []
+
+
 class _Reader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
 
     def partitions(self):
-        with os.scandir(self.root) as entries:
-            below = [e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name not in (TRASH, DATABASES)]
-        return [_Folder(self.root, False), *[_Folder(p, True) for p in sorted(below)]]
+        """A flat one for every folder that was opened, a deep one for every folder below them."""
+        flat, deep = [], deque([self.root])
+        while deep and len(flat) + len(deep) < PARTS:
+            folder = deep.popleft()
+            flat.append(folder)
+            deep += _children(folder)
+        return [*[_Folder(p, False) for p in flat], *[_Folder(p, True) for p in deep]]
 
     def read(self, partition):
         for folder, dirs, names in os.walk(partition.path):
@@ -54,6 +71,8 @@ class FileInventory(DataSource):
         return _Reader(os.path.abspath(self.options["path"]))
 
 
-def scan_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = MEDIA_SUFFIXES) -> DataFrame:
+def scan_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = MEDIA_SUFFIXES, ordered: bool = False) -> DataFrame:
+    """The inventory's rows with these suffixes; ordered: by path (operators here order for themselves)."""
     spark.dataSource.register(FileInventory)
-    return spark.read.format("file_inventory").load(folder).filter(has_suffix(F.col("path"), tuple(suffixes)))
+    found = spark.read.format("file_inventory").load(folder).filter(has_suffix(F.col("path"), tuple(suffixes)))
+    return found.orderBy("path") if ordered else found

@@ -473,3 +473,41 @@ def test_folders_for_intermediate_tables(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         materialize.shared_dir(Cluster)
+
+
+def test_scan_splits_folders(spark, tmp_path, monkeypatch):
+    want = set()
+    for k in range(6):
+        for j in range(5):
+            f = tmp_path / f"d{k}" / f"e{j}" / "f" / "x.jpg"
+            f.parent.mkdir(parents=True)
+            f.write_text("x")
+            want.add(str(f))
+    os.symlink(tmp_path / "d0", tmp_path / "link")
+    for parts in (1, 4, 20, 500):
+        monkeypatch.setattr(scan, "PARTS", parts)
+        reader = scan._Reader(str(tmp_path))
+        split = reader.partitions()
+        assert len(split) >= min(parts, 60) and sorted(p for part in split for p, *_ in reader.read(part)) == sorted(want)
+    assert [r.path for r in scan.scan_files(spark, str(tmp_path), ordered=True).collect()] == sorted(want)
+
+
+def test_moves_stay_inside(spark, tmp_path):
+    (tmp_path / "root").mkdir()
+    (tmp_path / "else").mkdir()
+    os.symlink(tmp_path / "else", tmp_path / "root" / "link")
+    for f in ("root/a", "else/b", "root/c"):
+        (tmp_path / f).write_text("x")
+    root = str(tmp_path / "root")
+    plan = spark.createDataFrame([(f"{root}/a", f"{root}/link/a", "ok"), (f"{root}/link/b", f"{root}/b", "ok"), (f"{root}/c", f"{root}/sub/c", "ok")], "src string, dst string, status string")
+    assert actions.carry_out(plan, False, root) == {"moved": 1, "skipped": 0, "errors": 2, "refused": 0}
+    assert (tmp_path / "else/b").exists() and (tmp_path / "root/sub/c").exists()
+
+
+def test_keys_and_shown_paths(spark):
+    rows_ = spark.createDataFrame([("\\a\\x.jpg",), ("\\b\\gone.jpg",)], "path string")
+    there = spark.createDataFrame([("C:\\a\\x.jpg",)], "path string")
+    assert [r.place for r in cache.on_disk(rows_, there, True).orderBy("path").collect()] == ["C:\\a\\x.jpg", "\\b\\gone.jpg"]
+    assert [r.place for r in cache.on_disk(rows_, there).orderBy("path").collect()] == ["\\a\\x.jpg", "\\b\\gone.jpg"]
+    assert column(spark, ["C:\\a\\x.jpg"], "string", lambda v: paths.shown(v, True)) == ["file:///C:/a/x.jpg"] and column(spark, ["/a"], "string", paths.shown) == ["/a"]
+    assert column(spark, ["/r/a/b", "/r", "/x/y", "/r2/z", "/"], "string", lambda v: paths.relative(v, F.lit("/r"))) == ["a/b", ".", "../x/y", "../r2/z", ".."]
