@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchloom.functions.paths import TRASH, base_name, parent, trash_path
-from matchloom.operators.keeper import scored
+from matchloom.operators.keeper import scored, smart_defaults
 from matchloom.operators.ranking import numbered
 
 #: Folders that can be chosen, one for each letter.
@@ -67,3 +67,40 @@ def decide(members: DataFrame, choices: DataFrame, root: Column, extra: Sequence
     )
     dst = F.when(F.col("action") == "trash", F.coalesce(trash_path(F.col("path"), root), flat)).when(F.col("action") == "rename", F.concat_ws("/", "dir", "best_name"))
     return out.withColumn("action", action).select("group_id", "path", "action", dst.alias("dst"))
+
+
+def default_decision(members: DataFrame, extra: Sequence[str] = (), base: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """keep (path) and sources (group_id, rename_src, folder_src) as a review starts: the first member of each group stays."""
+    chosen = smart_defaults(scored(members, extra, base))
+    return chosen.select(F.col("keep").alias("path")), chosen.select("group_id", "rename_src", "folder_src")
+
+
+def transform_requests(members: DataFrame, keep: DataFrame, sources: DataFrame) -> DataFrame:
+    """path, new_name, target_dir: what selections in a review ask of kept files, for actions.transform_plan().
+
+    Only groups of which exactly one file is kept ask for anything: the name of rename_src and the folder of
+    folder_src, members of the group that aren't kept themselves.
+    """
+    kept = members.join(keep.select("path").distinct(), "path", "left_semi").select("group_id", "path").distinct()
+    single = kept.groupBy("group_id").agg(F.count("*").alias("_n"), F.min("path").alias("path")).filter("_n = 1").drop("_n")
+    inside = members.select("group_id", F.col("path").alias("_m")).distinct()
+
+    def source(column: str, alias: str, value: Column) -> DataFrame:
+        asked = sources.select("group_id", F.col(column).alias("_m")).filter("_m is not null")
+        return asked.join(inside, ["group_id", "_m"]).join(kept.withColumnRenamed("path", "_m"), ["group_id", "_m"], "left_anti").select("group_id", value.alias(alias))
+
+    out = single.join(source("rename_src", "new_name", base_name(F.col("_m"))), "group_id", "left").join(source("folder_src", "target_dir", parent(F.col("_m"))), "group_id", "left")
+    return out.filter("new_name is not null or target_dir is not null").select("path", "new_name", "target_dir")
+
+
+def decisions_from_json(rows: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """keep (path) and requests (path, new_name, target_dir) of decisions {"keep": [...], "renames": [{...}]}.
+
+    What isn't a string is dropped, and so are requests without a path; a text that is no such object says nothing.
+    """
+    whole = rows.select(F.try_parse_json(column).alias("v"))
+    text = lambda at: F.expr(f"CASE WHEN schema_of_variant(value) = 'STRING' THEN variant_get(value, '{at}', 'string') END")
+    items = lambda at: whole.select(F.expr(f"CASE WHEN startswith(schema_of_variant(try_variant_get(v, '$.{at}', 'variant')), 'ARRAY') THEN CAST(variant_get(v, '$.{at}', 'variant') AS ARRAY<VARIANT>) END").alias("a")).select(F.explode("a").alias("value"))
+    field = lambda name: F.expr(f"CASE WHEN schema_of_variant(try_variant_get(value, '$.{name}', 'variant')) = 'STRING' THEN variant_get(value, '$.{name}', 'string') END").alias(name)
+    keep = items("keep").select(text("$").alias("path")).filter("path is not null")
+    return keep, items("renames").select(field("path"), field("new_name"), field("target_dir")).filter("path is not null")

@@ -248,10 +248,14 @@ def pick_keeper(spark, sf_dir):
     return keeper.pick_keeper(keeper.scored(_photos(spark, sf_dir)))
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT * CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END)::BIGINT AS bytes FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 7 = 6 THEN NULL WHEN l_linenumber % 4 = 0 THEN l_quantity::BIGINT
+ELSE ((l_quantity::BIGINT + l_orderkey % 4 * 0.25::DOUBLE) * CASE l_linenumber % 4 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END)::BIGINT END AS bytes FROM lineitem""")
 def parse_sizes(spark, sf_dir):
+    """Whole numbers without a unit, fractions with one, and what isn't a size."""
+    part = F.element_at(F.array(*map(F.lit, ("", ".25", ".5", ".75"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
     unit = F.element_at(F.array(F.lit(""), F.lit("kb"), F.lit(" MB"), F.lit("GB ")), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    text = F.concat(F.col("l_quantity").cast("int").cast("string"), unit)
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(part), unit)
+    text = F.when(F.col("l_linenumber") % 7 == 6, F.concat(F.lit("about "), text)).otherwise(text)
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sizes.size_bytes(text).alias("bytes"))
 
 
@@ -434,6 +438,14 @@ def relative_paths(spark, sf_dir):
     return rows.withColumn("rel", paths.relative(F.col("path"), F.col("base")))
 
 
+@query(f"""WITH {_PHOTOS}, n AS (SELECT DISTINCT ON (group_id) group_id, path AS src, name, ordinal AS i FROM photos ORDER BY group_id, ns DESC, ordinal),
+f AS (SELECT DISTINCT ON (group_id) group_id, dir, ordinal AS j FROM photos ORDER BY group_id, fs DESC, ordinal), k AS (SELECT group_id, path FROM photos WHERE ordinal = 0)
+SELECT path, CASE WHEN i > 0 THEN name END AS new_name, CASE WHEN j > 0 THEN dir END AS target_dir FROM k JOIN n USING (group_id) JOIN f USING (group_id) WHERE i > 0 OR j > 0""")
+def review_requests(spark, sf_dir):
+    members = _photos(spark, sf_dir)
+    return interactive.transform_requests(members, *interactive.default_decision(members))
+
+
 @query(f"""WITH {_GROUPS}, k AS (SELECT *, path[2] = 'F' AS kept FROM members), bad AS (SELECT group_id FROM k GROUP BY group_id HAVING NOT bool_or(kept))
 SELECT 0 AS phase, group_id AS src, NULL AS dst, 'refused' AS status FROM bad
 UNION ALL SELECT DISTINCT 1, path, '/{paths.TRASH}' || path, 'ok' FROM k WHERE NOT kept

@@ -511,3 +511,30 @@ def test_keys_and_shown_paths(spark):
     assert [r.place for r in cache.on_disk(rows_, there).orderBy("path").collect()] == ["\\a\\x.jpg", "\\b\\gone.jpg"]
     assert column(spark, ["C:\\a\\x.jpg"], "string", lambda v: paths.shown(v, True)) == ["file:///C:/a/x.jpg"] and column(spark, ["/a"], "string", paths.shown) == ["/a"]
     assert column(spark, ["/r/a/b", "/r", "/x/y", "/r2/z", "/"], "string", lambda v: paths.relative(v, F.lit("/r"))) == ["a/b", ".", "../x/y", "../r2/z", ".."]
+
+
+def test_requests_of_a_review(spark):
+    m = spark.createDataFrame([("g", "/r/a/1.jpg"), ("g", "/r/b/2.jpg"), ("h", "/r/a/3.jpg"), ("h", "/r/b/4.jpg"), ("i", "/r/a/5.jpg"), ("i", "/r/b/6.jpg")], "group_id string, path string")
+    payload = [json.dumps({"keep": ["/r/a/1.jpg", 5, None, ["x"], "/r/a/3.jpg", "/r/b/4.jpg"], "renames": [{"path": "/r/a/1.jpg", "new_name": 7, "target_dir": "/r/b"}, {"new_name": "x"}, "no", 3]}), "not json", "[]", '{"keep": "all", "renames": {}}']
+    keep, asked = interactive.decisions_from_json(spark.createDataFrame([(x,) for x in payload], "json string"))
+    assert rows(keep) == [("/r/a/1.jpg",), ("/r/a/3.jpg",), ("/r/b/4.jpg",)] and rows(asked) == [("/r/a/1.jpg", None, "/r/b")]
+    keep = keep.unionByName(spark.createDataFrame([("/r/a/5.jpg",)], "path string"))
+    sources = spark.createDataFrame([("g", "/r/b/2.jpg", "/r/b/2.jpg"), ("h", "/r/b/4.jpg", None), ("i", "/r/a/5.jpg", "/else/9.jpg")], "group_id string, rename_src string, folder_src string")
+    assert rows(interactive.transform_requests(m, keep, sources)) == [("/r/a/1.jpg", "2.jpg", "/r/b")]
+
+
+def test_resampling():
+    import numpy as np
+
+    flat = np.full((50, 70), 131.0)
+    assert (media._shrink(flat, 8, 9) == 131).all() and media.image_hashes(flat)[1] == 0
+    for size, out in ((64, 32), (37, 9), (8, 9), (3000, 32)):
+        w = media._resampler(size, out)
+        assert np.abs(w.sum(axis=1) / media._UNIT - 1).max() < 1e-3 and (w == np.rint(w)).all()
+        k = out // 2  # one output value, weight by weight
+        centre, wide = (k + 0.5) * size / out, max(size / out, 1)
+        lobe = [max(0.0, 1.0) if (x := (i + 0.5 - centre) / wide) == 0 else 3 * np.sin(np.pi * x) * np.sin(np.pi * x / 3) / (np.pi * x) ** 2 if abs(x) < 3 else 0.0 for i in range(size)]
+        assert np.abs(w[k] / media._UNIT - np.array(lobe) / sum(lobe)).max() < 1e-6
+    ramp = np.tile(np.arange(0, 250, 2.0), (40, 1))
+    assert media.image_hashes(ramp)[1] == -1 and media.image_hashes(ramp[:, ::-1])[1] == 0  # bright to the right: all bits
+    assert media.luma(np.array([255.0, 0]), np.array([255.0, 128]), np.array([255.0, 0])).tolist() == [255, 75]
