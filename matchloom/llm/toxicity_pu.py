@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import arrow_limits, fold, table
-from matchloom.llm.labelled import sample
+from matchloom.llm.labelled import sample, sample_unlabelled
 
-#: Bounds of the training sample: confirmed toxic rows, and rows whose label isn't looked at.
+#: Bounds of the training sample: confirmed toxic rows, and rows of the whole table, whatever their labels.
 TOXIC_ROWS = 2500
 UNLABELLED_ROWS = 5000
 FEATURES = 1024
 PREFIXES = (4, 5, 6)
-#: A feature must be in so many confirmed texts, or in this share of them.
-LEAST, LEAST_SHARE = 3, 0.004
+#: A feature must be in so many confirmed texts.
+LEAST = 3
+#: The class prior that its own estimate starts from, and that stands where there is too little text for one.
+START = 0.1
+#: Texts of either kind that the prior's estimate takes at least, and the confidence of its bounds.
+LEAST_TEXTS, DELTA = 20, 0.05
 CUT = 0.5
 HELD_OUT = 0
 FOLDS = 5
@@ -70,7 +74,7 @@ def _counts(texts: list[str], index: dict[str, int]) -> np.ndarray:
     return x
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and constant that minimise the non-negative PU risk with logistic loss.
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)): where the second part, the risk on negatives corrected
@@ -80,54 +84,90 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: flo
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     a, b = np.column_stack([p, np.ones(len(p), np.float32)]), np.column_stack([u, np.ones(len(u), np.float32)])
     w[-1] = np.log(prior / (1 - prior))
+    single = lambda x: x.astype(np.float32)
     for t in range(1, steps + 1):
-        zp, zu = np.clip(a @ w, -30, 30), np.clip(b @ w, -30, 30)
+        zp, zu = (np.clip((x @ single(w)).astype(float), -30, 30) for x in (a, b))
         up, uu = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
-        g_neg = b.T @ uu / len(b) - prior * (a.T @ up) / len(a)
-        g = -g_neg if negative < 0 else g_neg - prior * (a.T @ (1 - up)) / len(a)
+        g_neg = (b.T @ single(uu)).astype(float) / len(b) - prior * (a.T @ single(up)) / len(a)
+        g = -g_neg if negative < 0 else g_neg - prior * (a.T @ single(1 - up)) / len(a)
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def train(toxic: list[str], unlabelled: list[str], prior: float, features: int = FEATURES) -> Model:
-    """The classifier from confirmed toxic texts and texts without labels; prior: share of toxic ones among the latter."""
-    prior = min(max(prior, 1e-3), 0.9)
+def prior_of(p: np.ndarray, u: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from scores of texts that weren't trained on.
+
+    Above any threshold the unlabelled hold at least prior times the share that the positives hold; the threshold
+    where the upper bound of that ratio is least gives the estimate (best bin, Garg et al. 2021).
+    """
+    cuts = np.unique(p)
+    q_p, q_u = 1 - np.searchsorted(np.sort(p), cuts) / len(p), 1 - np.searchsorted(np.sort(u), cuts) / len(u)
+    slack_p, slack_u = (np.sqrt(np.log(2 / DELTA) / (2 * len(x))) for x in (p, u))
+    bound = (q_u + slack_u) / np.maximum(q_p - slack_p, 1e-9)
+    best = int(np.argmin(bound))
+    return float(q_u[best] / q_p[best])
+
+
+def _estimate(p: np.ndarray, u: np.ndarray) -> float:
+    """The class prior, by training on either half of the texts and looking at the other."""
+    if min(len(p), len(u)) < 2 * LEAST_TEXTS:
+        return START
+    out = []
+    for k in (0, 1):
+        w, c = nnpu(p[k::2], u[k::2], START)
+        out.append(prior_of(p[1 - k :: 2] @ w + c, u[1 - k :: 2] @ w + c))
+    return sum(out) / 2
+
+
+def train(toxic: list[str], unlabelled: list[str], prior: float | None = None, features: int = FEATURES) -> Model:
+    """The classifier from confirmed toxic texts and texts of unknown kind; prior: share of toxic ones among the latter (None: estimated).
+
+    Features are those that speak most for the confirmed, by the z value of the difference of their shares, and
+    enter in proportion to it, so that weak ones cost more of the penalty; the risk sets all weights. Without texts of
+    one kind, or without a feature, every text scores the prior.
+    """
     toxic, unlabelled = sorted(set(toxic)), sorted(set(unlabelled))
+    clipped = lambda x: min(max(x, 1e-3), 0.9)
+    alike = lambda x: Model({}, float(np.log(x / (1 - x))), x)
     if not toxic or not unlabelled:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
-    of = lambda texts: Counter(f for t in texts for f in {f for w in set(t.split()) for f in word_features(w)})
-    in_p = of(toxic)
-    least = max(LEAST, LEAST_SHARE * len(toxic))
-    in_p = Counter({f: n for f, n in in_p.items() if n >= least})
-    in_u = Counter({f: n for f, n in of(unlabelled).items() if f in in_p})
-    # z of the difference of the shares; only what is likelier among the confirmed
+        return alike(clipped(START if prior is None else prior))
+    of = lambda text: {f for w in set(text.split()) for f in word_features(w)}
+    in_p = Counter(f for t in toxic for f in of(t))
+    in_p = Counter({f: n for f, n in in_p.items() if n >= LEAST})
+    in_u = Counter(f for t in unlabelled for f in of(t) if f in in_p)
     size_p, size_u = len(toxic), len(unlabelled)
 
     def z(f: str) -> float:
         a, b = in_p[f] / size_p, (in_u[f] + 0.5) / size_u
-        return (a - b) / np.sqrt((in_p[f] + in_u[f]) / (size_p + size_u) * (1 / size_p + 1 / size_u))
-
-    ranked = sorted(((z(f), f) for f in in_p), key=lambda x: (-x[0], x[1]))
-    index = {f: k for k, f in enumerate(sorted(f for s, f in ranked[:features] if s > 4 and in_p[f] / size_p > 2.5 * in_u[f] / size_u))}
-    if not index:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
-    w, c = nnpu(_counts(toxic, index), _counts(unlabelled, index), prior)
-    return Model({f: float(w[k]) for f, k in index.items()}, c, prior)
-
-
-def fit_model(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
-    """From at most toxic_rows confirmed rows and unlabelled_rows rows taken as unlabelled, held-out folds left out.
-
-    The class prior is the toxic share of all labelled rows outside the held-out fold.
+        return (a - b) / np.sqrt((in_p[f] + in_u[f] + 0.5) / (size_p + size_u) * (1 / size_p + 1 / size_u))
+
+    best = sorted(((z(f), f) for f in in_p), key=lambda x: (-x[0], x[1]))[:features]
+    best = [(s, f) for s, f in best if s > 0]
+    if not best:
+        return alike(clipped(START if prior is None else prior))
+    index = {f: k for k, (_, f) in enumerate(best)}
+    scale = np.array([s for s, _ in best], np.float32) / np.float32(best[0][0])
+    p, u = _counts(toxic, index) * scale, _counts(unlabelled, index) * scale
+    prior = clipped(_estimate(p, u) if prior is None else prior)
+    w, c = nnpu(p, u, prior)
+    return Model({f: float(w[k] * scale[k]) for f, k in index.items()}, c, prior)
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, prior: float | None = None) -> Model:
+    """From at most toxic_rows confirmed rows and unlabelled_rows rows of docs taken as unlabelled, held-out folds left out.
+
+    Of the labels only the positive ones are read; the unlabelled rows come from the whole table, so most have no
+    label. prior: share of toxic texts in docs; None: estimated from the two samples. Without a positive label every
+    text scores START. Rows without an id aren't trained on; of repeated ids and labels the greatest text and label
+    count, so every run trains on the same.
     """
     label, learn = F.col(label_col), fold(FOLDS, id_col) != held_out
-    prior = labels.filter(learn).agg(F.avg(label.cast("double"))).first()[0]
     toxic = sample(docs, labels, label, learn & (label == 1), toxic_rows, 5, id_col, text_col)
-    rest = sample(docs, labels, label, learn, unlabelled_rows, 7, id_col, text_col)
-    return train([t for t, _, _ in toxic], [t for t, _, _ in rest], prior or 0.01)
+    rest = sample_unlabelled(docs, learn, unlabelled_rows, 7, id_col, text_col)
+    return train([t for t, _, _ in toxic], rest, prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
