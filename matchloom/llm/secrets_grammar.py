@@ -8,6 +8,7 @@ import re
 import string
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,16 @@ _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are matched whole, so these are the runs of 24 and more
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{15,}")
+#: Candidates are runs of these characters, and their parts between those of SPLITS.
+MARKS, SPLITS = "+/_.=-", "/.="
 
 #: Evidence for a merge: the confidence of the Hoeffding bound.
 ALPHA = 0.05
-#: A candidate is a secret from so many nats a character by which the credentials' automaton beats the ordinary one's.
-MARGIN = 0.6
+#: A candidate is a secret from so many nats by which the credentials' automaton beats the ordinary one's: ordinary
+#: strings are taken to be 100,000 times as common.
+EVIDENCE = math.log(100_000)
+#: Added to every count when probabilities are taken, the end of a string's too.
+SMOOTH = 0.05
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -37,11 +42,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+#: Classes of characters: hex letters, other small letters, capitals, digits; marks stand for themselves.
+ALPHABET = "hlud" + MARKS
 _CLASS = {c: "h" for c in "abcdef"} | {c: "l" for c in string.ascii_lowercase[6:]} | {c: "u" for c in string.ascii_uppercase} | {c: "d" for c in string.digits}
 
 
 def symbols(token: str) -> str:
-    """Classes of the characters: hex letters, other small letters, capitals, digits; marks stand for themselves."""
+    """Classes of the characters of a string over letters, digits and MARKS."""
     return "".join(_CLASS.get(c, c) for c in token)
 
 
@@ -120,13 +127,21 @@ class Automaton:
         self.next = [{c: place[t] for c, t in self.next[s].items()} for s in red]
 
     def log_likelihood(self, word: str) -> float:
-        """Natural logarithm of the probability of a symbol string; what was never seen has a small share everywhere."""
+        """Natural logarithm of the probability of a string of classes, its end included; what was never seen has a small share everywhere."""
         s, out = 0, 0.0
+        all_ = SMOOTH * (len(ALPHABET) + 1)
         for c in word:
-            n = self.count[s].get(c, 0)
-            out += math.log((n + 0.05) / (self.total[s] + 2.0))
+            out += math.log((self.count[s].get(c, 0) + SMOOTH) / (self.total[s] + all_))
             s = self.next[s].get(c, s)
-        return out
+        return out + math.log((self.end[s] + SMOOTH) / (self.total[s] + all_))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By state and class the next state and the logarithm of the probability, and that of the end by state."""
+        states, all_ = len(self.next), SMOOTH * (len(ALPHABET) + 1)
+        follow = np.array([[self.next[s].get(c, s) for c in ALPHABET] for s in range(states)], np.int32)
+        count = np.array([[self.count[s].get(c, 0) for c in ALPHABET] for s in range(states)], float)
+        total = np.array(self.total, float)
+        return follow, np.log((count + SMOOTH) / (total + all_)[:, None]), np.log((np.array(self.end) + SMOOTH) / (total + all_))
 
 
 def labelled_credentials(each: int = 120, seed: int = 5) -> tuple[list[str], list[str]]:
@@ -163,35 +178,99 @@ def labelled_credentials(each: int = 120, seed: int = 5) -> tuple[list[str], lis
             of(dig, r.randint(16, 20)),
             r.choice("-=_.") * r.randint(16, 60),
             ".".join(of(dig, r.randint(1, 3)) for _ in range(r.randint(5, 8))),
+            # short ones: words, abbreviations with endings, numbers with units, codes, names and values
+            word(r.randint(1, 5)),
+            word(r.randint(1, 5)).capitalize(),
+            of(up, r.randint(2, 4)) + word(r.randint(1, 3)),
+            word(r.randint(1, 2)) + of(up, r.randint(1, 3)) + word(r.randint(0, 2)),
+            of(dig, r.randint(1, 7)),
+            of(dig, r.randint(1, 4)) + r.choice([".", "-", "/"]) + of(dig, r.randint(1, 4)),
+            of(dig, r.randint(1, 4)) + word(1)[: r.randint(1, 3)],
+            of(up, r.randint(1, 3)) + r.choice(["", "-", "."]) + of(dig, r.randint(1, 4)),
+            of(up, r.randint(1, 4)) + r.choice("-_/.=") + of(up, r.randint(1, 4)),
+            word(1) + of(dig, r.randint(1, 4)) + r.choice(["", ".", "-", "_"]) + word(r.randint(0, 1)),
+            word(r.randint(1, 3)) + r.choice([".", "="]) + r.choice([word(1), of(dig, r.randint(1, 3)), of(up, r.randint(1, 3))]),
         ]
     return good, plain
 
 
+_NUMBER = np.full(129, -1, np.int8)  # class of a code point; 128 stands for all above
+for _c in string.ascii_letters + string.digits + MARKS:
+    _NUMBER[ord(_c)] = ALPHABET.index(_CLASS.get(_c, _c))
+_SPLIT = np.zeros(len(ALPHABET) + 1, bool)  # the last: no class
+_SPLIT[[ALPHABET.index(c) for c in SPLITS]] = True
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches where `inside` holds."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
 class Scanner:
     """Pattern spans, and spans of candidates that credentials' automaton likes better than the ordinary one."""
 
-    def __init__(self, credentials: list[str], ordinary: list[str], alpha: float = ALPHA, margin: float = MARGIN):
+    def __init__(self, credentials: list[str], ordinary: list[str], alpha: float = ALPHA, evidence: float = EVIDENCE):
         self.good, self.plain = (Automaton([symbols(w) for w in words], alpha) for words in (credentials, ordinary))
-        self.margin = margin
+        self.tables = self.good.tables(), self.plain.tables()
+        self.evidence = evidence
 
     def score(self, token: str) -> float:
-        """Nats a character by which the token is likelier as a credential."""
+        """Nats by which the token, a string over letters, digits and MARKS, is likelier as a credential."""
         s = symbols(token)
-        return (self.good.log_likelihood(s) - self.plain.log_likelihood(s)) / max(len(s), 1)
-
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """All spans by start, then kind. A candidate that a pattern has found, in part or whole, isn't repeated."""
-        out = base_spans(text)
-        taken = sorted((a, b) for _, a, b in out)
-        for m in _CANDIDATE.finditer(text):
-            a, b = m.span()
-            while text[b - 1] in ".=" and text[b - 1] == "." and b > a:
-                b -= 1  # the end of a sentence
-            if b - a < 16 or any(x < b and a < y for x, y in taken):
-                continue
-            if self.score(text[a:b]) >= self.margin:
-                out.append(("grammar", a, b))
-        return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+        return self.good.log_likelihood(s) - self.plain.log_likelihood(s)
+
+    def scores(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """score() of many stretches of an array of class numbers, all of them one character on at a time."""
+        order = np.argsort(starts - ends, kind="stable")  # long ones first: those that go on are a prefix
+        at, length = starts[order], (ends - starts)[order]
+        (go, gain, end), (go2, gain2, end2) = self.tables
+        s, t, out = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), np.zeros(len(at))
+        for k in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -k, side="left"))  # of more than k characters
+            c = classes[at[:n] + k]
+            out[:n] += gain[s[:n], c] - gain2[t[:n], c]
+            s[:n], t[:n] = go[s[:n], c], go2[t[:n], c]
+        found = np.empty(len(at))
+        found[order] = out + end[s] - end2[t]
+        return found
+
+    def grammar_spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """By text the candidates with enough evidence: whole runs of letters, digits and marks (without full stops at
+        their ends), of any length; of a run that has too little, its parts between SPLITS."""
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        classes = _NUMBER[np.minimum(points, 128)]
+        dot = ALPHABET.index(".")
+        starts, ends = _runs(classes >= 0)
+        while (more := (starts < ends) & (classes[np.minimum(starts, len(classes) - 1)] == dot)).any():
+            starts = starts + more
+        while (more := (starts < ends) & (classes[np.maximum(ends - 1, 0)] == dot)).any():
+            ends = ends - more
+        starts, ends = starts[starts < ends], ends[starts < ends]
+        hit = self.scores(classes, starts, ends) >= self.evidence
+        found = list(zip(starts[hit].tolist(), ends[hit].tolist(), strict=True))
+        # parts, of the runs that have any and weren't found whole
+        split = _SPLIT[classes]
+        before = np.concatenate([[0], np.cumsum(split)])
+        open_ = ~hit & (before[ends] > before[starts])
+        inner = np.zeros(len(classes) + 1, np.int8)
+        np.add.at(inner, starts[open_], 1)
+        np.add.at(inner, ends[open_], -1)
+        a, b = _runs((np.cumsum(inner[:-1]) > 0) & ~split)
+        hit = self.scores(classes, a, b) >= self.evidence
+        found += zip(a[hit].tolist(), b[hit].tolist(), strict=True)
+        first = np.cumsum(sizes) - sizes
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for x, y in sorted(found):
+            k = int(np.searchsorted(first, x, side="right")) - 1
+            out[k].append(("grammar", x - int(first[k]), y - int(first[k])))
+        return out
+
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """By text all spans by start, then kind: those of the patterns, and of all candidates that the automata find, within
+        pattern spans too."""
+        return [sorted(base_spans(t) + more, key=lambda x: (x[1], KINDS.index(x[0]))) for t, more in zip(texts, self.grammar_spans(texts), strict=True)]
 
 
 @cache
@@ -217,7 +296,7 @@ def scan_secrets(docs: DataFrame, scanner: Scanner | None = None, id_col: str =
         scan = scanner or default_scanner()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan.spans(t or "")] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in scan.spans([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
