@@ -14,14 +14,18 @@ SYMBOLS = "#*$%&|<>"
 #: Below so many words, or above so many per cent of repeated words, a text fails whatever its group is like.
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-#: Features are whole numbers per thousand; the sketch counts each value, stopping at this one.
-TOP = 1000
-#: A text is an outlier beyond q75 + FENCE * (q75 - q50) + the feature's margin.
+#: A text is an outlier beyond q75 + FENCE * (q75 - q50) + the feature's margin, or below q25 - FENCE * (q50 - q25) - margin.
 FENCE = 8
+#: A group's limits stay within so many times those of its parent: what fills a group can't switch a rule off there.
+REACH = 3
 #: Groups of fewer texts take the thresholds of their language, and those of all texts below that.
 MIN_ROWS = 50
 #: Feature and least margin in thousandths, so that a group without spread doesn't reject what is close to it.
-MARGINS = {"symbols": 60, "dup_lines": 150, "repeats": 150, "long_words": 250}
+MARGINS = {"symbols": 60, "dup_lines": 150, "repeats": 150, "word_length": 20}
+#: Features with a least value too.
+TWO_SIDED = ("word_length",)
+#: Mean word length a counts as a / (a + WORD) thousandths: below 1000 for words of any length.
+WORD = 30
 
 
 def _has_word(line: Column) -> Column:
@@ -81,20 +85,20 @@ def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _feature(name: str) -> Column:
-    """Whole thousandths, by whole-number division, so that any engine gets the same."""
+    """Whole thousandths, 0 to 1000, by whole-number division, so that any engine gets the same."""
     per = {
         "symbols": ("n_symbols", F.greatest(F.col("word_chars"), F.lit(1))),
         "dup_lines": ("n_dup_lines", F.col("n_dup_lines") + 10),
         "repeats": ("n_repeat_words", F.greatest(F.col("n_words"), F.lit(1))),
-        "long_words": ("word_chars", F.greatest(F.col("n_words"), F.lit(1)) * 30),
+        "word_length": ("word_chars", F.col("word_chars") + F.greatest(F.col("n_words"), F.lit(1)) * WORD),
     }[name]
-    return F.least(F.floor(F.col(per[0]) * 1000 / per[1]), F.lit(TOP)).cast("long")
+    return F.floor(F.col(per[0]) * 1000 / per[1]).cast("long")
 
 
 def sketches(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Quantile sketches: for each group and feature the count of every value in thousandths.
 
-    At most TOP + 1 rows for a group and feature, whatever its size; two sketches merge by adding counts, which
+    At most 1001 rows for a group and feature, whatever its size; two sketches merge by adding counts, which
     is exact and independent of order. Rows: keys, feature, value, n.
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in MARGINS])
@@ -108,22 +112,33 @@ def sketches(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _limits() -> list[str]:
+    return [*(f"most_{f}" for f in MARGINS), *(f"least_{f}" for f in TWO_SIDED)]
+
+
 def thresholds(sketch: DataFrame, keys: list[str], fence: int = FENCE) -> DataFrame:
-    """Largest value allowed, by group and feature: q75 + fence * (q75 - q50) + margin. Rows: keys, rows, and a column for each feature."""
+    """Largest values allowed, by group and feature: q75 + fence * (q75 - q50) + margin; least ones likewise, 0 or more.
+
+    Rows: keys, rows, most_ and least_ columns by feature.
+    """
     by = W.partitionBy(*keys, "feature")
     ranked = sketch.withColumn("_to", F.sum("n").over(by.orderBy("value"))).withColumn("_all", F.sum("n").over(by))
-    q = ranked.groupBy(*keys, "feature").agg(
-        F.first("_all").alias("rows"),
-        F.min(F.when(F.col("_to") * 2 >= F.col("_all"), F.col("value"))).alias("q50"),
-        F.min(F.when(F.col("_to") * 4 >= F.col("_all") * 3, F.col("value"))).alias("q75"),
-    )
+    at = lambda quarters: F.min(F.when(F.col("_to") * 4 >= F.col("_all") * quarters, F.col("value")))
+    q = ranked.groupBy(*keys, "feature").agg(F.first("_all").alias("rows"), at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75"))
     margin = reduce(lambda c, f: c.when(F.col("feature") == f, F.lit(MARGINS[f])), MARGINS, F.when(F.lit(False), F.lit(0)))
     most = F.col("q75") + F.lit(fence) * (F.col("q75") - F.col("q50")) + margin
-    return q.withColumn("most", most).groupBy(*keys).agg(
-        F.first("rows").alias("rows"), *[F.max(F.when(F.col("feature") == f, F.col("most"))).alias(f"most_{f}") for f in MARGINS]
+    least = F.greatest(F.col("q25") - F.lit(fence) * (F.col("q50") - F.col("q25")) - margin, F.lit(0))
+    return q.withColumn("most", most).withColumn("least", least).groupBy(*keys).agg(
+        F.first("rows").alias("rows"),
+        *[F.max(F.when(F.col("feature") == f, F.col("most"))).alias(f"most_{f}") for f in MARGINS],
+        *[F.max(F.when(F.col("feature") == f, F.col("least"))).alias(f"least_{f}") for f in TWO_SIDED],
     )
 
 
+def _within_reach(limit: str, own: Column, parent: Column) -> Column:
+    return F.least(own, parent * REACH) if limit.startswith("most") else F.greatest(own, F.floor(parent / REACH).cast("long"))
+
+
 def apply_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: int = FENCE, min_rows: int = MIN_ROWS
 ) -> DataFrame:
@@ -131,8 +146,8 @@ def apply_rules(
 
     A text fails at once with under MIN_WORDS words or over MAX_REPEAT_PCT per cent of its words in repeated
     3-word windows. The rest is held against the thresholds of its language and source: a text is kept if
-    none of its features (symbols by character, repeated lines, repeated words, characters by word) is beyond
-    the fence that the group's own quantiles set. The texts that fail at once are left out of the sketches.
+    none of its features (symbols by character, repeated lines, repeated words, mean word length) is beyond
+    the fence that the group's own quantiles set, within reach of those of its language and of all texts. The texts that fail at once are left out of the sketches.
     Groups under min_rows texts use the merged sketch of their language, or of all.
 
     Null texts have no words. Null languages and sources are groups of their own. Ties and repeated rows need
@@ -154,23 +169,26 @@ def apply_rules(
     fine = staged(sketches(counts.filter("not base_failed"), ["lang", "source"]), "sketch")
     by_lang = fine.groupBy("lang", "feature", "value").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("feature", "value").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
-    names = [f"most_{f}" for f in MARGINS]
+    names = _limits()
     lim = thresholds(fine, ["lang", "source"], fence).alias("g")
     lim_lang = thresholds(by_lang, ["lang"], fence).select(F.col("lang").alias("_l"), F.col("rows").alias("_n"), *[F.col(c).alias(f"l_{c}") for c in names])
     lim_all = thresholds(by_all, ["one"], fence).select(*[F.col(c).alias(f"a_{c}") for c in names])
     groups = lim.join(lim_lang, F.col("lang").eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(lim_all))  # lim_all: one row
+    for c in names:
+        of_lang = F.when(F.col("_n") >= min_rows, _within_reach(c, F.col(f"l_{c}"), F.col(f"a_{c}"))).otherwise(F.col(f"a_{c}"))
+        groups = groups.withColumn(f"l_{c}", of_lang)
     chosen = staged(
         groups.select(
             F.col("lang").alias("_lang"),
             F.col("source").alias("_source"),
-            *[F.when(F.col("rows") >= min_rows, F.col(c)).when(F.col("_n") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in names],
+            *[F.when(F.col("rows") >= min_rows, _within_reach(c, F.col(c), F.col(f"l_{c}"))).otherwise(F.col(f"l_{c}")).alias(c) for c in names],
         ),
         "thresholds",
     )
     held = counts.join(
         small(chosen), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
-    within = reduce(lambda a, b: a & b, [_feature(f) <= F.col(f"most_{f}") for f in MARGINS])
+    within = reduce(lambda a, b: a & b, [*[_feature(f) <= F.col(f"most_{f}") for f in MARGINS], *[_feature(f) >= F.col(f"least_{f}") for f in TWO_SIDED]])
     return held.select(
         F.col("doc_id").alias(id_col),
         "n_words",
@@ -187,16 +205,25 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
-_FEATURES = """
-  least(n_symbols * 1000 // greatest(word_chars, 1), 1000) AS symbols,
-  least(n_dup_lines * 1000 // (n_dup_lines + 10), 1000) AS dup_lines,
-  least(n_repeat_words * 1000 // greatest(n_words, 1), 1000) AS repeats,
-  least(word_chars * 1000 // (greatest(n_words, 1) * 30), 1000) AS long_words
+_FEATURES = f"""
+  n_symbols * 1000 // greatest(word_chars, 1) AS symbols,
+  n_dup_lines * 1000 // (n_dup_lines + 10) AS dup_lines,
+  n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
+  word_chars * 1000 // (word_chars + greatest(n_words, 1) * {WORD}) AS word_length
 """
+_Q = "quantile_disc({f}, {q})"
 _LIMITS = ", ".join(
-    f"quantile_disc({f}, 0.75) + {FENCE} * (quantile_disc({f}, 0.75) - quantile_disc({f}, 0.5)) + {m} AS most_{f}" for f, m in MARGINS.items()
+    [f"{_Q.format(f=f, q=0.75)} + {FENCE} * ({_Q.format(f=f, q=0.75)} - {_Q.format(f=f, q=0.5)}) + {m} AS most_{f}" for f, m in MARGINS.items()]
+    + [f"greatest({_Q.format(f=f, q=0.25)} - {FENCE} * ({_Q.format(f=f, q=0.5)} - {_Q.format(f=f, q=0.25)}) - {MARGINS[f]}, 0) AS least_{f}" for f in TWO_SIDED]
 )
-_CHOSEN = ", ".join(f"CASE WHEN g.n >= {MIN_ROWS} THEN g.most_{f} WHEN l.n >= {MIN_ROWS} THEN l.most_{f} ELSE a.most_{f} END AS most_{f}" for f in MARGINS)
+
+
+def _reach_sql(c: str, own: str, parent: str) -> str:
+    return f"least({own}, {parent} * {REACH})" if c.startswith("most") else f"greatest({own}, {parent} // {REACH})"
+
+
+_LANG = ", ".join(f"CASE WHEN l.n >= {MIN_ROWS} THEN {_reach_sql(c, f'l.{c}', f'a.{c}')} ELSE a.{c} END AS {c}" for c in _limits())
+_CHOSEN = ", ".join(f"CASE WHEN g.n >= {MIN_ROWS} THEN {_reach_sql(c, f'g.{c}', f'l.{c}')} ELSE l.{c} END AS {c}" for c in _limits())
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -219,8 +246,9 @@ WITH d AS (
 ), g AS (SELECT lang, source, count(*) AS n, {_LIMITS} FROM f WHERE NOT base_failed GROUP BY ALL),
 l2 AS (SELECT lang, count(*) AS n, {_LIMITS} FROM f WHERE NOT base_failed GROUP BY ALL),
 a AS (SELECT {_LIMITS} FROM f WHERE NOT base_failed),
-t AS (SELECT g.lang, g.source, {_CHOSEN} FROM g JOIN l2 AS l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a)
+l3 AS (SELECT l.lang, {_LANG} FROM l2 AS l CROSS JOIN a),
+t AS (SELECT g.lang, g.source, {_CHOSEN} FROM g JOIN l3 AS l ON g.lang IS NOT DISTINCT FROM l.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce({" AND ".join(f"{f} <= most_{f}" for f in MARGINS)}, true) AS kept
+       NOT base_failed AND coalesce({" AND ".join([*(f"{f} <= most_{f}" for f in MARGINS), *(f"{f} >= least_{f}" for f in TWO_SIDED)])}, true) AS kept
 FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
 """
