@@ -114,9 +114,10 @@ def test_chain(spark):
 
 
 def test_durations(spark):
-    for a, b, near in ((60, 67, 1), (5, 14, 1), (5, 16, 0), (60, 200, 0), (1000, 1050, 1)):
-        v = spark.createDataFrame([("a", float(a), [0], 1), ("b", float(b), [0], 1)], "path string, duration double, frames array<long>, size long")
-        assert cluster.video_groups(v, 0).count() == 2 * near
+    cases = ((60, 67, 1), (5, 14, 1), (5, 16, 0), (60, 200, 0), (1000, 1050, 1))
+    made = [(f"{k}{x}", float(t), [(1 << k) - 1, -(1 << (k + 1))], 1) for k, (a, b, _) in enumerate(cases) for x, t in (("a", a), ("b", b))]
+    v = spark.createDataFrame(made, "path string, duration double, frames array<long>, size long")
+    assert {r.path for r in cluster.video_groups(v, 0).collect()} == {f"{k}{x}" for k, (_, _, near) in enumerate(cases) if near for x in "ab"}
 
 
 def test_freshness(spark):
@@ -252,12 +253,12 @@ def test_selective_in_fact(spark):
 
 def test_long_chains_end(spark):
     """More rounds than allowed: the rest is decided by component."""
-    n = 30
+    n = 14
     items = [(f"p{k:02d}", (1 << (2 * k)) - 1, 0) for k in range(n)]  # neighbours are two bits apart
     items = [(p, h - (1 << 64) if h >> 63 else h, d) for p, h, d in items]
     df = spark.createDataFrame([(p, a, b, 1) for p, a, b in items], "path string, phash long, dhash long, size long")
     want = sequential([(p, a & ((1 << 64) - 1), b) for p, a, b in items], 2)
-    for rounds in (1, 2, 30):
+    for rounds in (1, 3, 30):
         assert {x.path: x.group_id for x in cluster.leader_groups(df, 2, rounds).collect()} == want
 
 
@@ -296,9 +297,9 @@ def free_names(moves, taken):
 def test_free_names(spark):
     r = random.Random(9)
     names = ["a.jpg", "a_1.jpg", "a_2.jpg", "a_5.jpg", "a_1_1.jpg", "a", "a_1", "b.c_1", "b_1.c_1", "b.c", ".x", ".x_1", "y.", "y._1", "IMG_7.jpg", "IMG_2023.jpg"]
-    for seed in range(6):
+    for seed in range(3):
         r.seed(seed)
-        moves = [(f"{k:03d}", "/t/" + r.choice(names)) for k in range(r.choice([3, 25]))]
+        moves = [(f"{k:03d}", "/t/" + r.choice(names)) for k in range(25 if seed else 4)]
         taken = ["/t/" + x for x in r.sample(names, r.randint(0, 8))]
         df = spark.createDataFrame(moves, "src string, dst string")
         got = {x.src: x.dst for x in actions.unique_targets(df, spark.createDataFrame([(x,) for x in taken], "path string")).collect()}
