@@ -30,6 +30,8 @@ class Model:
     weights: tuple[float, ...]
     window: int = WINDOW
     level: int = LEVEL
+    #: False where there were no texts of one class: scores then say nothing.
+    trained: bool = True
 
     def compressors(self):
         import zstandard as z
@@ -89,22 +91,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) -
 
 
 def train(good: list[str], bad: list[str], fit: list[tuple[str, int, float]], dict_bytes: int = DICT_BYTES, window: int = WINDOW) -> Model:
-    """Dictionaries from good and bad texts; the score calibrated on the rows of `fit` (text, label, weight is ignored)."""
+    """Dictionaries from good and bad texts; the score calibrated on the rows of `fit` (text, label, weight is ignored).
+
+    Where `fit` holds one class alone, or none, there is nothing to calibrate on: every text scores the share of
+    good rows, with one more of either class, 0.5 without any, and the model counts as untrained. Without good or
+    without bad texts it is untrained too.
+    """
     model = Model(_dictionary(good, dict_bytes, window), _dictionary(bad, dict_bytes, window), (0.0, 0.0, 0.0), window)
-    c = model.compressors()
-    x = np.array([model.features(t, c) for t, _, _ in fit] or [(0.0, 0.0)])
-    y = np.array([k for _, k, _ in fit] or [1], float)
-    if len(set(y)) > 1:
-        model.weights = tuple(map(float, _logistic(x, y)))
-    else:  # nothing to tell apart
-        model.weights = (4.0 if y[0] == 1 else -4.0, 0.0, 0.0)
+    y = np.array([k for _, k, _ in fit], float)
+    if len(set(y)) > 1 and good and bad:
+        c = model.compressors()
+        model.weights = tuple(map(float, _logistic(np.array([model.features(t, c) for t, _, _ in fit]), y)))
+    else:
+        share = (y.sum() + 1) / (len(y) + 2)
+        model.weights, model.trained = (float(np.log(share / (1 - share))), 0.0, 0.0), False
     return model
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = ROWS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from at most `rows` labelled texts of each class for the dictionaries, and twice as many, as they come, for the calibration.
 
-    Rows whose crc32(id) mod 4 is held_out are never read; dictionaries and calibration share no row.
+    Rows whose crc32(id) mod 4 is held_out are never read; dictionaries and calibration share no row. Rows with a
+    null id or label, and labels without a document, aren't trained on; null texts are empty; of repeated ids and
+    labels the greatest text and label count, so every run trains on the same. Empty tables, and labels of one class
+    alone, give an untrained model, see train().
     """
     label = F.col(label_col)
     part = fold(FOLDS, id_col)
@@ -141,7 +151,13 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """docs whose score is `cut` or more, all columns as they came."""
+    """docs whose score is `cut` or more, all columns as they came.
+
+    An untrained model rejects nothing. Null and empty texts are kept if difference 0 scores `cut`; ids aren't looked
+    at, repeated rows fare alike, an empty table gives an empty result.
+    """
+    if not model.trained:
+        return docs
     arrow_limits(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
 
