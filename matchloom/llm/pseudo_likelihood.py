@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -17,15 +18,15 @@ CLUSTERS = 32
 BRANCHES = CLUSTERS * CLUSTERS
 KNOWN = 768
 TAIL = BRANCHES - KNOWN
-#: Words that the network sees as themselves, each with vectors of its own: GROWTH * square root of the number of different words, KNOWN at least.
+#: Words that the network sees as themselves, each with a vector of its own: GROWTH * square root of the number of different words, KNOWN at least.
 GROWTH = 4.5
 #: Added to every count within a branch. As many words as it is known to hold are taken to be unseen.
 SMOOTH = 0.5
-#: Counts that tasks hold at once: so many times the words with vectors of their own. Rarer words meet theirs in a join.
+#: Counts that tasks hold at once: so many times the words with a vector of their own. Rarer words meet theirs in a join.
 HELD = 16
 #: Words on either side that the network sees.
 SIDE = 2
-PLACES = 2 * SIDE
+PLACES = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 WIDTH = 16
 MINIBATCH = 8192
 RATE = 0.1
@@ -34,8 +35,9 @@ SEED = 11
 BLOCK = 8192
 #: Partitions of the first averaging step, by salt: at most so many sums meet in the second.
 SALTS = 16
-#: Words without an entry that a worker remembers.
+#: Words without an entry that a worker remembers, and different words that it counts at once.
 REMEMBERED = 300_000
+COUNTED = 300_000
 
 
 def _own(known: int) -> int:
@@ -49,7 +51,7 @@ def _shared(known: int) -> int:
 
 
 def classes_of(known: list[str]) -> int:
-    """Vectors a place, but for the one outside the text."""
+    """Vectors, but for the one outside the text."""
     return _own(len(known)) + _shared(len(known))
 
 
@@ -99,9 +101,13 @@ class Words(dict):
 
 @dataclass
 class Network:
-    """embed: a table for each place around the word; hidden layer tanh(sum); softmax over clusters, then over the branches of one."""
+    """A vector for each word, weighed by place around the predicted one; hidden layer tanh(sum); softmax over clusters, then over the branches of one.
 
-    embed: np.ndarray  # places, vectors + 1, WIDTH; the last vector: outside the text
+    Words come as a stream of vector numbers in which SIDE times the last vector, outside the text, stand around each text.
+    """
+
+    embed: np.ndarray  # vectors + 1, WIDTH
+    place: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
@@ -109,7 +115,7 @@ class Network:
 
     @staticmethod
     def shapes(classes: int) -> list[tuple[int, ...]]:
-        return [(PLACES, classes + 1, WIDTH), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, CLUSTERS), (CLUSTERS, CLUSTERS)]
+        return [(classes + 1, WIDTH), (len(PLACES), WIDTH), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, CLUSTERS), (CLUSTERS, CLUSTERS)]
 
     @classmethod
     def of(cls, flat: np.ndarray, classes: int = BRANCHES) -> Network:
@@ -123,68 +129,78 @@ class Network:
     @classmethod
     def start(cls, classes: int = BRANCHES) -> np.ndarray:
         n = sum(int(np.prod(s)) for s in cls.shapes(classes))
-        return (np.random.default_rng(SEED).standard_normal(n) * 0.1).astype(np.float32)
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[0].take(context[0], axis=0)
-        for place in range(1, PLACES):
-            h += self.embed[place].take(context[place], axis=0)
-        return np.tanh(h, out=h)
-
-    def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(branch | context) for each column of context."""
-        h = self.hidden(context)
+        flat = (np.random.default_rng(SEED).standard_normal(n) * 0.1).astype(np.float32)
+        cls.of(flat, classes).place[:] += 1
+        return flat
+
+    def hidden(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of the stream from SIDE before the first place of `at` to SIDE after the last, and the hidden layer at those places."""
+        x = self.embed.take(stream[at[0] - SIDE : at[-1] + SIDE + 1], axis=0)
+        n = len(x) - 2 * SIDE
+        h = x[SIDE + PLACES[0] : SIDE + PLACES[0] + n] * self.place[0]
+        for k, p in enumerate(PLACES[1:], 1):
+            h += x[SIDE + p : SIDE + p + n] * self.place[k]
+        h = h.take(at - at[0], axis=0)
+        return x, np.tanh(h, out=h)
+
+    def log_probs(self, stream: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log p(branch | context) for the words at ascending places of the stream."""
+        if not len(at):
+            return np.zeros(0)
+        h = self.hidden(stream, at)[1]
         c, j = np.divmod(target, CLUSTERS)
         z = h @ self.w1 + self.b1
         out = z[np.arange(len(target)), c] - _log_sum(z)
-        for k, at in _by_cluster(c):
-            z = h.take(at, axis=0) @ self.w2[k] + self.b2[k]
-            out[at] += z[np.arange(len(at)), j[at]] - _log_sum(z)
+        for k, rows in _by_cluster(c):
+            z = h.take(rows, axis=0) @ self.w2[k] + self.b2[k]
+            out[rows] += z[np.arange(len(rows)), j[rows]] - _log_sum(z)
         return out
 
-    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
-        """Of the mean negative log-probability: by place the vectors that occur and theirs, and the other parts' gradients."""
+    def gradients(self, stream: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of the mean negative log-probability: the vectors that occur, their gradients, and the other parts'."""
         n = len(target)
-        h = self.hidden(context)
+        x, h = self.hidden(stream, at)
         c, j = np.divmod(target, CLUSTERS)
         p = _softmax(h @ self.w1 + self.b1)
         p[np.arange(n), c] -= 1
         dh = p @ self.w1.T
         parts = [h.T @ p / n, p.sum(axis=0) / n]
         dw, db = np.zeros_like(self.w2), np.zeros_like(self.b2)
-        for k, at in _by_cluster(c):
-            own = h.take(at, axis=0)
+        for k, rows in _by_cluster(c):
+            own = h.take(rows, axis=0)
             q = _softmax(own @ self.w2[k] + self.b2[k])
-            q[np.arange(len(at)), j[at]] -= 1
+            q[np.arange(len(rows)), j[rows]] -= 1
             dw[k], db[k] = own.T @ q / n, q.sum(axis=0) / n
-            dh[at] += q @ self.w2[k].T
+            dh[rows] += q @ self.w2[k].T
         dh *= 1 - h * h
         dh /= n
-        short = np.uint16 if self.embed.shape[1] <= 1 << 16 else np.int32  # short numbers are sorted by digits
-        tables = []
-        for place in range(PLACES):
-            order = np.argsort(context[place].astype(short), kind="stable")
-            inside = context[place][order]
-            first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-            tables.append((inside[first], np.add.reduceat(dh.take(order, axis=0), first, axis=0)))
-        return tables, [*parts, dw, db]
-
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        inner = np.zeros((len(x) - 2 * SIDE, WIDTH), dh.dtype)
+        inner[at - at[0]] = dh
+        dx, dplace = np.zeros_like(x), np.zeros_like(self.place)
+        for k, d in enumerate(PLACES):
+            here = slice(SIDE + d, SIDE + d + len(inner))
+            dx[here] += inner * self.place[k]
+            dplace[k] = np.einsum("ij,ij->j", inner, x[here])
+        seen = stream[at[0] - SIDE : at[-1] + SIDE + 1]
+        order = np.argsort(seen.astype(np.uint16) if len(self.embed) <= 1 << 16 else seen, kind="stable")  # short numbers are sorted by digits
+        inside = seen[order]
+        first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+        return inside[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0), [dplace, *parts, dw, db]
+
+    def gradient(self, stream: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         """gradients(), flat."""
-        tables, parts = self.gradients(context, target)
+        rows, de, parts = self.gradients(stream, at, target)
         whole = np.zeros(self.embed.shape)
-        for place, (rows, de) in enumerate(tables):
-            whole[place, rows] = de
+        whole[rows] = de
         return np.concatenate([x.ravel() for x in (whole, *parts)]).astype(np.float32)
 
-    def step(self, squares: Network, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+    def step(self, squares: Network, stream: np.ndarray, at: np.ndarray, target: np.ndarray, rate: float) -> None:
         """Adagrad, in place."""
-        tables, parts = self.gradients(context, target)
-        for place, (rows, de) in enumerate(tables):
-            sums = squares.embed[place].take(rows, axis=0) + de * de
-            squares.embed[place][rows] = sums
-            self.embed[place][rows] -= rate * de / np.sqrt(sums)
-        for name, g in zip(("w1", "b1", "w2", "b2"), parts, strict=True):
+        rows, de, parts = self.gradients(stream, at, target)
+        sums = squares.embed.take(rows, axis=0) + de * de
+        squares.embed[rows] = sums
+        self.embed[rows] -= rate * de / np.sqrt(sums)
+        for name, g in zip(("place", "w1", "b1", "w2", "b2"), parts, strict=True):
             sums, own = getattr(squares, name), getattr(self, name)
             sums += g * g
             own -= rate * g / np.sqrt(sums)
@@ -218,22 +234,42 @@ def entries(docs: list[list[bytes]], words: Words) -> tuple[np.ndarray, np.ndarr
     return np.fromiter(map(words.__getitem__, chain.from_iterable(docs)), np.int32, int(sizes.sum())), sizes
 
 
-def windows(vectors: np.ndarray, sizes: np.ndarray, classes: int) -> np.ndarray:
-    """Contexts (by place the vector's number) of all words of some documents; `classes` is what is outside the text."""
-    padded = np.full(len(vectors) + PLACES * len(sizes), classes, np.int32)
-    at = np.arange(len(vectors)) + np.repeat(np.arange(len(sizes)), sizes) * PLACES + SIDE
+def stream_of(vectors: np.ndarray, sizes: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vector numbers of all words of some documents with SIDE times `classes`, what is outside a text, around each; and where the words are."""
+    padded = np.full(len(vectors) + SIDE * (len(sizes) + 1), classes, np.int32)
+    at = np.arange(len(vectors)) + np.repeat(np.arange(1, len(sizes) + 1), sizes) * SIDE
     padded[at] = vectors
-    return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k])
+    return padded, at
 
 
 def _split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()  # bytes are split at [\x20\x09-\x0D]
 
 
+def _count(batches):
+    """Counts of the different words of a task's texts, handed on whenever there are COUNTED of them."""
+    import pyarrow as pa
+
+    held: Counter = Counter()
+
+    def counted():
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.update(_split(text or ""))
+        if len(held) >= COUNTED:
+            yield counted()
+    yield counted()
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, count: every different word of all texts, over every row."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
-    return staged(words.groupBy("word").count(), "words")
+    """word, count: every different word of all texts, over every row. Tasks add up their own first."""
+    arrow_limits(docs.sparkSession)
+    words = docs.select(text_col).mapInArrow(_count, "word string, n long")
+    return staged(words.groupBy("word").agg(F.sum("n").alias("count")), "words")
 
 
 def commonest(counts: DataFrame, share: int = 1) -> list[tuple[str, int]]:
@@ -266,9 +302,9 @@ def _train(known: list[str], start: np.ndarray, rate: float):
         net, squares, seen, words = Network.of(flat, classes), Network.of(np.full(len(flat), 1e-6, np.float32), classes), 0, Words(known)
         for batch in batches:
             found, sizes = entries([_split(t or "") for t in batch.column(0).to_pylist()], words)
-            context, target = windows(words.vector[found], sizes, classes), words.branch[found]
-            for at in range(0, len(target), MINIBATCH):
-                net.step(squares, np.ascontiguousarray(context[:, at : at + MINIBATCH]), target[at : at + MINIBATCH], rate)
+            (stream, at), target = stream_of(words.vector[found], sizes, classes), words.branch[found]
+            for k in range(0, len(target), MINIBATCH):
+                net.step(squares, stream, at[k : k + MINIBATCH], target[k : k + MINIBATCH], rate)
             seen += len(target)
         if seen:
             yield _blocks(flat * np.float32(seen), seen)
@@ -351,18 +387,18 @@ def _score(known: list[str], flat: np.ndarray, held: list[tuple[str, int]], tota
         for batch in batches:
             docs = [_split(t or "") for t in batch.column(1).to_pylist()]
             found, sizes = entries(docs, words)
-            context, target = windows(words.vector[found], sizes, classes), words.branch[found]
+            (stream, at), target = stream_of(words.vector[found], sizes, classes), words.branch[found]
             owner = np.repeat(np.arange(len(docs)), sizes)
             term = words.term[found]
             out, rare = np.zeros(len(docs)), [[] for _ in docs]
             out += np.bincount(owner, np.nan_to_num(term), len(docs))
-            for at in range(0, len(target), MINIBATCH):
-                part = slice(at, at + MINIBATCH)
-                out += np.bincount(owner[part], net.log_probs(context[:, part], target[part]), len(docs))
+            for k in range(0, len(target), MINIBATCH):
+                part = slice(k, k + MINIBATCH)
+                out += np.bincount(owner[part], net.log_probs(stream, at[part], target[part]), len(docs))
             starts = np.cumsum(sizes) - sizes
-            for at in np.flatnonzero(np.isnan(term)).tolist():
-                k = owner[at]
-                rare[k].append(docs[k][at - starts[k]])
+            for n in np.flatnonzero(np.isnan(term)).tolist():
+                k = owner[n]
+                rare[k].append(docs[k][n - starts[k]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(docs))), batch.column(0), pa.array(sizes), pa.array(out), pa.array(rare, pa.list_(pa.binary()))],
                 ["row", "doc_id", "n_words", "log_prob", "rare"],

@@ -358,7 +358,7 @@ def softmax_sum(net, words, classes, branch):
     """Sum of log p(branch | context), one word after the other. words: vectors' numbers."""
     padded, total = [classes] * 2 + list(words) + [classes] * 2, 0.0
     for i, target in enumerate(branch):
-        h = np.tanh(sum(net.embed[n][padded[i + 2 + p]] for n, p in enumerate((-2, -1, 1, 2))))
+        h = np.tanh(sum(net.embed[padded[i + 2 + p]] * net.place[n] for n, p in enumerate((-2, -1, 1, 2))))
         c, j = divmod(int(target), 32)
         for z, at in ((h @ net.w1 + net.b1, c), (h @ net.w2[c] + net.b2[c], j)):
             total += float(z[at] - np.log(np.exp(z).sum()))
@@ -372,19 +372,21 @@ def test_gradients(classes):
     flat = P.Network.start(classes).astype(float)
     sizes = np.array([30, 0, 1])
     vectors, target = r.integers(0, classes, 31).astype(np.int32), r.integers(0, 1024, 31).astype(np.int16)
-    context = P.windows(vectors, sizes, classes)
-    assert context.shape == (4, 31) and context[:, 0].tolist() == [classes, classes, vectors[1], vectors[2]] and context[:, 30].tolist() == [classes] * 4
-    g = P.Network.of(flat, classes).gradient(context, target)
-    for k in np.argsort(-np.abs(g))[[0, 50, 500]]:
+    stream, at = P.stream_of(vectors, sizes, classes)
+    assert stream[at].tolist() == vectors.tolist() and (np.delete(stream, at) == classes).all() and at[0] == 2 and at[30] == 36 and len(stream) == 39
+    g = P.Network.of(flat, classes).gradient(stream, at, target)
+    tail = len(flat) - P.Network.of(flat, classes).w2.size - 1024 - 32 - 16 * 32 - 64  # where the weights of the places begin
+    for k in [*np.argsort(-np.abs(g))[[0, 50, 500]], *range(tail, tail + 64, 9)]:
         up, down = flat.copy(), flat.copy()
         up[k] += 1e-5
         down[k] -= 1e-5
-        slope = (P.Network.of(down, classes).log_probs(context, target).mean() - P.Network.of(up, classes).log_probs(context, target).mean()) / 2e-5
+        slope = (P.Network.of(down, classes).log_probs(stream, at, target).mean() - P.Network.of(up, classes).log_probs(stream, at, target).mean()) / 2e-5
         assert abs(slope - g[k]) < 1e-5
-    every = np.arange(1024)  # one context, every branch: the whole mass
-    assert abs(np.exp(P.Network.of(flat, classes).log_probs(np.repeat(context[:, :1], 1024, axis=1), every)).sum() - 1) < 1e-6
-    got = P.Network.of(flat, classes).log_probs(context[:, :30], target[:30]).sum()
-    assert abs(got - softmax_sum(P.Network.of(flat, classes), vectors[:30], classes, target[:30])) < 1e-8
+    net = P.Network.of(flat, classes)
+    mass = [net.log_probs(stream, at[5:6], np.array([t]))[0] for t in range(1024)]  # one context, every branch
+    assert abs(np.exp(mass).sum() - 1) < 1e-6
+    assert abs(net.log_probs(stream, at[:30], target[:30]).sum() - softmax_sum(net, vectors[:30], classes, target[:30])) < 1e-8
+    assert np.allclose(net.log_probs(stream, at, target), np.concatenate([net.log_probs(stream, at[:7], target[:7]), net.log_probs(stream, at[7:], target[7:])]))
 
 
 def test_pseudo_likelihood(spark, docs, texts):
