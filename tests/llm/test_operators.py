@@ -296,15 +296,15 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def test_models_from_odd_tables(spark):
     none, odd = docs_of(spark, []), docs_of(spark, ODD)
-    for docs in (none, odd):
-        for rows in ([], [(1, 1, 1), (None, 0, 0), (99, 0, 0)], [(k, 1, 0) for k in range(9)], [(k, None, None) for k in range(9)]):
-            labels = spark.createDataFrame(rows, LABELS)
-            m = quality_zstd.fit_model(docs, labels)
-            n = len([1 for k, q, _ in rows if q is not None and k is not None and docs is odd and zlib.crc32(str(k).encode()) % 4 == 3 and k in {r[0] for r in ODD}])
-            assert not m.trained and abs(m.score([(0.0, 0.0)])[0] - (n + 1) / (n + 2)) < 1e-9
-            assert quality_zstd.keep_good(odd, m).count() == len(ODD)
-            t = toxicity_pu.fit_model(docs, labels)
-            assert t.weights == {} and t.scores(["a", ""]).tolist() == pytest.approx([0.1, 0.1])
+    cases = [(none, [(k, 1, 0) for k in range(9)]), *((odd, rows) for rows in ([], [(1, 1, 1), (None, 0, 0), (99, 0, 0)], [(k, 1, 0) for k in range(9)], [(k, None, None) for k in range(9)]))]
+    for docs, rows in cases:
+        labels = spark.createDataFrame(rows, LABELS)
+        m = quality_zstd.fit_model(docs, labels)
+        n = len([1 for k, q, _ in rows if q is not None and k is not None and docs is odd and zlib.crc32(str(k).encode()) % 4 == 3 and k in {r[0] for r in ODD}])
+        assert not m.trained and abs(m.score([(0.0, 0.0)])[0] - (n + 1) / (n + 2)) < 1e-9
+        assert quality_zstd.keep_good(odd, m).count() == len(ODD)
+        t = toxicity_pu.fit_model(docs, labels)
+        assert t.weights == {} and t.scores(["a", ""]).tolist() == pytest.approx([0.1, 0.1])
     # repeated ids and labels: the greatest text and label, in every run
     twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 0)], LABELS)
