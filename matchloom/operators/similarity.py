@@ -91,7 +91,8 @@ def candidates(left: DataFrame, right: DataFrame, plan: Blocking) -> DataFrame:
         also = lambda h: F.posexplode(F.array(*[_part(F.col(h), at, width) for at, width in plan.second])).alias("k2", "v2")
         x, y, keys = x.select("*", also("x_d")), y.select("*", also("y_d")), [*keys, "k2", "v2"]
         first = first & (F.coalesce(*[F.when(far("x_d", "y_d", at, width) == 0, k) for k, (at, width) in enumerate(plan.second)]) == F.col("k2"))
-    return x.join(y, keys).filter(first).select("x_p", "x_d", "y_p", "y_d")
+    # Spark's sizes leave out what explode and flips add: unless told to sort, it would broadcast the keys of what looks small
+    return x.hint("merge").join(y.hint("merge"), keys).filter(first).select("x_p", "x_d", "y_p", "y_d")
 
 
 def near_hashes(left: DataFrame, right: DataFrame, threshold: int, second: bool = True, ordered: bool = False, loop_rows: int = LOOP_ROWS, loop_cost: float = LOOP_COST) -> DataFrame:

@@ -251,6 +251,20 @@ def test_selective_in_fact(spark):
         assert similarity.candidates(h, other, plan).count() < 1.1 * share * n * n < n * n / 2
 
 
+def test_keys_are_not_broadcast(spark):
+    """Hashes that look small have hundreds of keys each: the driver gets the table of flips alone."""
+    r = random.Random(8)
+    values = [(r.getrandbits(63), r.getrandbits(63)) for _ in range(200)]
+    values += [(p ^ 5, d ^ (1 << i % 60)) for i, (p, d) in enumerate(values[:50])]
+    h = spark.createDataFrame(values, "phash long, dhash long")
+    near = similarity.near_hashes(h.filter("phash % 3 = 0"), h.filter("phash % 3 != 0"), 8, loop_cost=1e9)
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 8 and (x[1] ^ y[1]).bit_count() <= 8
+    want = [(*x, *y, (x[0] ^ y[0]).bit_count()) for x in values if x[0] % 3 == 0 for y in values if y[0] % 3 and close(x, y)]
+    assert rows(near) == sorted(want, key=str) and want
+    plan = near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin [k#" in plan
+
+
 def test_long_chains_end(spark):
     """More rounds than allowed: the rest is decided by component."""
     n = 10
