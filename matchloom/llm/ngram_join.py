@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from matchloom.llm.common import arrow_limits, drop_staged, join_skewed, small, staged, table
+from matchloom.llm.common import arrow_limits, drop_staged, give_back, join_skewed, small, staged, table
 from matchloom.operators.components import components
 
 WORDS = 5
@@ -91,6 +91,7 @@ def _sign(bands: int, rows: int, words: int):
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))],
                 ["doc_id", "set_key", "n_ngrams", "bands"],
             )
+        give_back()
 
     return run
 
@@ -106,6 +107,7 @@ def _sets(words: int, keys: bool = False):
             sets = [ngram_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             own = pa.array([xxhash.xxh3_128_digest(g) if g else None for g in sets], pa.binary()) if keys else batch.column(0)
             yield pa.RecordBatch.from_arrays([own, pa.array(sets, pa.binary())], ["set_key" if keys else "node", "ngrams"])
+        give_back()
 
     return run
 
@@ -159,7 +161,7 @@ def _compare(similarity: float):
         union = sizes[:, None] + (sizes if other is None else other_sizes)[None, :] - common
         return common / np.maximum(union, 1) >= similarity
 
-    def run(t):
+    def decided(t):
         import pyarrow as pa
 
         node, first = np.unique(t.column("node").to_numpy(), return_index=True)
@@ -186,6 +188,11 @@ def _compare(similarity: float):
             head[part] = _heads(links, node[part])
         return pa.table({"node": node, "degree": degree, "head": head})
 
+    def run(t):
+        out = decided(t)
+        give_back()
+        return out
+
     return run
 
 

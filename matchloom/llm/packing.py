@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_limits, partitions, staged, table
+from matchloom.llm.common import arrow_limits, give_back, partitions, staged, table
 from matchloom.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -37,6 +37,7 @@ def _cut(path: str | None, capacity: int, end_id: int):
                 rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False))]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(cols)], names)
+        give_back()
 
     return run
 

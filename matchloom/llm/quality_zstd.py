@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_limits, fold, table
+from matchloom.llm.common import arrow_limits, fold, give_back, table
 from matchloom.llm.labelled import sample
 
 #: Bound of the training sample: labelled rows of each class.
@@ -135,6 +135,7 @@ def _score(model: Model):
             f = [model.features(t or "", c) for t in batch.column(1).to_pylist()]
             f = np.array(f, float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[:, 0]), pa.array(model.score(f))], ["doc_id", "difference", "score"])
+        give_back()
 
     return run
 
@@ -168,6 +169,7 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "
         for batch in batches:
             f = [model.features(t or "", c) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.score(f) >= cut))
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ _OTHER = re.compile(f"[^\0-{LAST}]")
 #: Cuts any text only where the byte-level pattern cuts it too: before a blank and word, around runs of white space.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Strings that a worker remembers: two generations of so many.
-CACHE = 400_000
+CACHE = 200_000
 _encoders: dict[str | None, Encoder] = {}
 
 

@@ -2,6 +2,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -673,3 +675,32 @@ def test_staged_tables_can_be_deleted(spark):
     assert kept.count() == 4
     with pytest.raises(Exception):
         t.count()
+
+
+_WORKER = """
+import random, re
+import pyarrow as pa
+from matchloom.llm import packing
+
+def mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", f.read())[1]) / 1024
+
+def batches(n):
+    r = random.Random(5)
+    for k in range(n):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(5000)]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([" ".join(words)])], ["doc_id", "text"])
+
+run = packing._cut(None, 2048, 0)
+assert sum(len(x) for x in run(batches(1))) > 1
+before = mb()
+assert sum(len(x) for x in run(batches(180))) > 180
+print(mb() - before)
+"""
+
+
+def test_worker_memory():
+    """900,000 words that never come again: what a worker keeps of them, beside the JVM, is bounded well below 120 MB."""
+    done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, timeout=300, env=os.environ, check=True)
+    assert 0 < float(done.stdout) < 120, done.stdout
