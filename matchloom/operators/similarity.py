@@ -84,12 +84,12 @@ def candidates(left: DataFrame, right: DataFrame, plan: Blocking) -> DataFrame:
     of = lambda h: F.posexplode(F.array(*[_part(F.col(h), at, width) for at, width, _ in plan.parts])).alias("k", "v")
     x = left.select("x_p", "x_d", of("x_p")).join(flips, "k").withColumn("v", F.col("v").bitwiseXOR(F.col("flip"))).drop("flip")
     y = right.select("y_p", "y_d", of("y_p"))
-    keys = ["k", "v"]
+    keys = ["v", "k"]  # values first: rows are sorted by the first key as far as it tells them apart
     far = lambda a, b, at, width: hamming(_part(F.col(a), at, width), _part(F.col(b), at, width))
     first = F.coalesce(*[F.when(far("x_p", "y_p", at, width) <= most, k) for k, (at, width, most) in enumerate(plan.parts)]) == F.col("k")
     if plan.second:
         also = lambda h: F.posexplode(F.array(*[_part(F.col(h), at, width) for at, width in plan.second])).alias("k2", "v2")
-        x, y, keys = x.select("*", also("x_d")), y.select("*", also("y_d")), [*keys, "k2", "v2"]
+        x, y, keys = x.select("*", also("x_d")), y.select("*", also("y_d")), ["v", "v2", "k", "k2"]
         first = first & (F.coalesce(*[F.when(far("x_d", "y_d", at, width) == 0, k) for k, (at, width) in enumerate(plan.second)]) == F.col("k2"))
     # Spark's sizes leave out what explode and flips add: unless told to sort, it would broadcast the keys of what looks small
     return x.hint("merge").join(y.hint("merge"), keys).filter(first).select("x_p", "x_d", "y_p", "y_d")

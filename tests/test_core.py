@@ -262,7 +262,7 @@ def test_keys_are_not_broadcast(spark):
     want = [(*x, *y, (x[0] ^ y[0]).bit_count()) for x in values if x[0] % 3 == 0 for y in values if y[0] % 3 and close(x, y)]
     assert rows(near) == sorted(want, key=str) and want
     plan = near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "isFinalPlan=true" in plan and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin [k#" in plan
+    assert "isFinalPlan=true" in plan and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin [v#" in plan
 
 
 def test_long_chains_end(spark):
