@@ -54,6 +54,11 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def read_limits(spark: SparkSession) -> None:
+    """Decode few rows of a Parquet file at once: Spark's usual 4096 whole texts are one array, doubled as it grows."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system: it lives on beside the JVM, which needs it for other stages."""
     import pyarrow as pa

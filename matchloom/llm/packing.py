@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_limits, give_back, partitions, staged, table
+from matchloom.llm.common import arrow_limits, give_back, partitions, read_limits, staged, table
 from matchloom.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -45,6 +45,7 @@ def _cut(path: str | None, capacity: int, end_id: int):
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most `capacity` ids: only longer documents are cut, the first piece taking what is left over."""
     arrow_limits(docs.sparkSession)
+    read_limits(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_cut(tokenizer, capacity, end_id), PIECES)
 
@@ -182,12 +183,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     place = np.array(sorted(slots(solve(counts, capacity, rounds))) or [(0, 0, 0, 0, 0)], np.int64)
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    # the start of a length and salt comes before its pieces, so one sort ranks them and nothing is joined
+    inside = W.partitionBy("length", "salt").orderBy(F.col("before").asc_nulls_last(), "doc_id", "piece").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
-        salted.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(starts, ["length", "salt"])
-        .withColumn("rank", (F.col("before") + F.col("_r")).cast("long"))
-        .drop("_r", "before", "salt")
+        salted.unionByName(starts, allowMissingColumns=True)
+        .withColumn("rank", (F.first("before").over(inside) + F.row_number().over(inside) - 2).cast("long"))
+        .filter(F.col("before").isNull())
+        .drop("before", "salt")
     )
     return ranked.mapInArrow(_place(place, int(counts.max(initial=0)) + 1), f"{PIECES}, sequence_id long, offset long")
 

@@ -704,3 +704,24 @@ def test_worker_memory():
     """900,000 words that never come again: what a worker keeps of them, beside the JVM, is bounded well below 120 MB."""
     done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, timeout=300, env=os.environ, check=True)
     assert 0 < float(done.stdout) < 120, done.stdout
+
+
+_LONG_TEXTS = """
+import sys
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import SparkSession
+from matchloom.llm import packing
+
+folder, n = sys.argv[1], 4096
+texts = (f"{k} " + ("x" * 63 + " ") * 1000 for k in range(n))
+pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string())}), f"{folder}/documents.parquet", use_dictionary=False)
+s = SparkSession.builder.master("local[1]").config("spark.driver.memory", "480m").config("spark.ui.enabled", "false").getOrCreate()
+print(packing.cut_documents(s.read.parquet(f"{folder}/documents.parquet")).select("doc_id").distinct().count())
+"""
+
+
+def test_long_texts_in_a_small_heap(tmp_path):
+    """4,096 texts of 64 KB: the reader never holds as many at once, in a heap of 480 MB."""
+    done = subprocess.run([sys.executable, "-c", _LONG_TEXTS, str(tmp_path)], capture_output=True, text=True, timeout=300, env=os.environ, check=False)
+    assert done.stdout.split()[-1:] == ["4096"], done.stderr[-2000:]
